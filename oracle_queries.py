@@ -103,7 +103,8 @@ def _line(keys: str, source: str, band: str, value: str = '"SUVA"') -> str:
     return f"""
         select {keys},
                case when regr_count({y}, wavelength) > 1
-                    then regr_intercept({y}, wavelength) end as intercept{band},
+                    then regr_intercept({y}, wavelength)
+                    else avg({y}) end as intercept{band},
                case when regr_count({y}, wavelength) > 1
                     then -regr_slope({y}, wavelength) end as slope{band}
         from {source} where wavelength >= {low} and wavelength <= {high}
@@ -246,18 +247,27 @@ def _fit_steps(source: str, y: str, x: str, by: str = "") -> dict[str, str]:
     keys, group = (f"{by}, ", f"group by {by}") if by else ("", "")
     return {
         "line": f"""
-            select {keys} count(*) as n, count(*) - 2 as df,
-                   regr_slope(yy, xx) as slope, regr_intercept(yy, xx) as intercept,
+            select {keys} count(*) as n,
+                   case when regr_sxx(yy, xx) > 0 then regr_slope(yy, xx) end as slope,
+                   case when regr_sxx(yy, xx) > 0 then regr_intercept(yy, xx)
+                        else avg(yy) end as intercept,
+                   case when count(*) > 0 then count(*)
+                        - case when regr_sxx(yy, xx) > 0 then 2 else 1 end end as df,
                    avg(xx) as mean_x, min(xx) as min_x, max(xx) as max_x,
                    regr_sxx(yy, xx) as sxx, regr_syy(yy, xx) as syy,
                    regr_sxy(yy, xx) as sxy
             from (select *, {y} as yy, {x} as xx from {source}
                   where {y} is not null and {x} is not null) {group}""",
-        "spread": """select *, sqrt((syy - sxy * sxy / sxx) / df) as sigma from line""",
+        "spread": """
+            select *, case when df > 0 then sqrt(rss / df) end as sigma
+            from (select *, greatest(syy - case when sxx > 0 then sxy * sxy / sxx
+                                                else 0 end, 0) as rss from line) l""",
         "errors": """
-            select *, sigma / sqrt(sxx) as se_slope,
-                   sigma * sqrt(1e0 / n + mean_x * mean_x / sxx) as se_intercept,
-                   sxy * sxy / sxx / syy as r_squared from spread""",
+
+            select *, case when sxx > 0 then sigma / sqrt(sxx) end as se_slope,
+                   sigma * sqrt(1e0 / n + case when sxx > 0
+                       then mean_x * mean_x / sxx else 0 end) as se_intercept,
+                   case when syy > 0 then 1 - rss / syy end as r_squared from spread""",
         "fit": f"""
             select {keys} n, cast(0 as bigint) as nonfinite, df, intercept, slope,
                    se_intercept,
@@ -265,7 +275,8 @@ def _fit_steps(source: str, y: str, x: str, by: str = "") -> dict[str, str]:
                    slope / se_slope as t_slope,
                    1 - {_central('abs(intercept / se_intercept)', 'df')} as p_intercept,
                    1 - {_central('abs(slope / se_slope)', 'df')} as p_slope, sigma,
-                   r_squared, 1 - (1 - r_squared) * (n - 1) / df as adj_r_squared,
+                   r_squared, case when df > 0
+                       then 1 - (1 - r_squared) * (n - 1) / df end as adj_r_squared,
                    slope / se_slope * slope / se_slope as f_statistic
             from errors""",
     }
@@ -277,7 +288,7 @@ def _band(source: str, y: str, x: str, by: str = "") -> tuple[dict[str, str], st
     steps = _fit_steps(source, y, x, by)
     del steps["errors"], steps["fit"]
     steps["bisect(df, lo, hi, k)"] = f"""
-        select distinct df, 0e0, 64e0, 0 from spread
+        select distinct df, 0e0, 64e0, 0 from spread where df > 0
         union all
         select df, case when p < 0.95e0 then (lo + hi) / 2 else lo end,
                case when p < 0.95e0 then hi else (lo + hi) / 2 end, k + 1
@@ -286,8 +297,8 @@ def _band(source: str, y: str, x: str, by: str = "") -> tuple[dict[str, str], st
     steps["grid"] = """
         select s.*, b.lo as t, cast(i as integer) as i,
                min_x + i * (max_x - min_x) / 79e0 as at_x
-        from spread s join bisect b on s.df = b.df and b.k = 55
-        cross join range(80) r(i)"""
+        from spread s left join bisect b on s.df = b.df and b.k = 55
+        cross join range(80) r(i) where slope is not null"""
     return steps, f"""
         select {keys} i, at_x as x, intercept + slope * at_x as fitted,
                intercept + slope * at_x
@@ -526,7 +537,8 @@ def rounded(decimals: int) -> dict[str, str]:
     """Complete statements, every double rounded and without negative zero."""
     found = {}
     for name, (steps, final, doubles) in _QUERIES.items():
-        named = ",\n".join(f"{step} as ({sql})" for step, sql in steps.items())
+        named = ",\n".join(f"{step} as materialized ({sql})" if "(" not in step else f"{step} as ({sql})"
+                           for step, sql in steps.items())
         replaced = ", ".join(
             f'round("{c}", {decimals}) + 0e0 as "{c}"' for c in doubles.split()
         )

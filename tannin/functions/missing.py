@@ -3,6 +3,8 @@
 NULL and NaN both count as missing.  Unless an operator says otherwise, one
 missing input makes an aggregate missing ("strict"), whereas Spark's own
 aggregates skip NULL.  Infinite values are ordinary values.
+
+Arguments are column names or SQL expressions.
 """
 
 from __future__ import annotations
@@ -13,67 +15,60 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-POSITIVE_INFINITY = float("inf")
+INFINITY = "double('Infinity')"
 
 
-def _col(c: Column | str) -> Column:
-    return F.col(c) if isinstance(c, str) else c
+def known(value: str) -> str:
+    """SQL text: the value as a double, NaN turned into NULL."""
+    return f"nanvl(double({value}), double(null))"
 
 
-def nan_to_null(c: Column | str) -> Column:
+def nan_to_null(value: str) -> Column:
     """A numeric column with NaN turned into NULL."""
-    value = _col(c).cast("double")
-    return F.nanvl(value, F.lit(None).cast("double"))
+    return F.expr(known(value))
 
 
-def is_missing(c: Column | str) -> Column:
+def is_missing(value: str) -> Column:
     """True for NULL and for NaN (numeric columns)."""
-    return nan_to_null(c).isNull()
+    return F.expr(f"{known(value)} is null")
 
 
-def is_finite(c: Column | str) -> Column:
+def is_finite(value: str) -> Column:
     """True for an ordinary number: not NULL, not NaN, not infinite."""
-    value = nan_to_null(c)
-    return value.isNotNull() & (F.abs(value) < F.lit(POSITIVE_INFINITY))
+    return F.expr(f"coalesce(abs(double({value})) < {INFINITY}, false)")
 
 
-def _strict(aggregate, c: Column | str) -> Column:
-    value = nan_to_null(c)
-    return F.when(F.count(value) == F.count(F.lit(1)), aggregate(value))
+def _strict(aggregate: str, value: str) -> Column:
+    v = known(value)
+    return F.expr(f"case when count({v}) = count(1) then {aggregate}({v}) end")
 
 
-def strict_avg(c: Column | str) -> Column:
+def strict_avg(value: str) -> Column:
     """Mean; missing when any input row is missing."""
-    return _strict(F.avg, c)
+    return _strict("avg", value)
 
 
-def strict_stddev(c: Column | str) -> Column:
+def strict_stddev(value: str) -> Column:
     """Sample standard deviation; missing when any input is, or for one row."""
-    return _strict(F.stddev_samp, c)
+    return _strict("stddev_samp", value)
 
 
-def strict_variance(c: Column | str) -> Column:
+def strict_variance(value: str) -> Column:
     """Sample variance; missing when any input is, or for one row."""
-    return _strict(F.var_samp, c)
+    return _strict("var_samp", value)
 
 
-def ieee_div(a: Column | str, b: Column | str) -> Column:
+def ieee_div(a: str, b: str) -> Column:
     """Floating-point division: x/0 is an infinity, 0/0 is NaN, NULL stays NULL.
 
     Spark's ``/`` raises on a zero divisor in ANSI mode and ``try_divide``
     gives NULL, so the zero cases are spelled out.
     """
-    a, b = _col(a).cast("double"), _col(b).cast("double")
-    by_zero = (
-        F.when(F.isnan(a) | (a == 0), F.lit(float("nan")))
-        .when(a > 0, F.lit(POSITIVE_INFINITY))
-        .otherwise(F.lit(-POSITIVE_INFINITY))
-    )
-    return (
-        F.when(a.isNull() | b.isNull(), F.lit(None).cast("double"))
-        .when(b == 0, by_zero)
-        .otherwise(F.try_divide(a, b))
-    )
+    return F.expr(f"""
+        case when ({a}) is null or ({b}) is null then double(null)
+             when ({b}) <> 0 then try_divide(double({a}), double({b}))
+             when ({a}) = 0 or isnan({a}) then double('NaN')
+             when ({a}) > 0 then {INFINITY} else -{INFINITY} end""")
 
 
 def drop_incomplete(df: DataFrame, subset: Iterable[str] | None = None) -> DataFrame:
@@ -82,11 +77,11 @@ def drop_incomplete(df: DataFrame, subset: Iterable[str] | None = None) -> DataF
     Written as a conjunction of simple predicates rather than ``na.drop`` so
     that each part can travel through joins and aggregates down to the scan.
     """
-    names = list(subset) if subset is not None else df.columns
-    keep = F.lit(True)
-    for name in names:
-        c = F.col(f"`{name}`")
-        keep = keep & c.isNotNull()
-        if isinstance(df.schema[name].dataType, (T.DoubleType, T.FloatType)):
-            keep = keep & ~F.isnan(c)
-    return df.where(keep)
+    schema = df.schema
+    names = list(subset) if subset is not None else schema.names
+    fractional = (T.DoubleType, T.FloatType)
+    tests = [f"`{n}` is not null" for n in names] + [
+        f"not isnan(`{n}`)" for n in names
+        if isinstance(schema[n].dataType, fractional)
+    ]
+    return df.where(" and ".join(tests))

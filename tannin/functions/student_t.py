@@ -81,19 +81,20 @@ def critical_value(df: float, level: float) -> float:
     return (low + high) / 2.0
 
 
-def _vectorised(scalar, first: pd.Series, second: pd.Series) -> pd.Series:
-    values = (
-        scalar(float(a), float(b)) if pd.notna(a) and pd.notna(b) else math.nan
-        for a, b in zip(first, second)
-    )
-    return pd.Series(list(values), dtype="float64")
+def _each(function, first: pd.Series, second: pd.Series) -> pd.Series:
+    """Row by row; an undefined result is NULL."""
+    def one(a, b):
+        found = function(float(a), float(b)) if pd.notna(a) and pd.notna(b) else None
+        return None if found is None or math.isnan(found) else found
+
+    return pd.Series([one(a, b) for a, b in zip(first, second)], dtype=object)
 
 
 @F.pandas_udf(T.DoubleType())
 def t_two_sided_p(t: pd.Series, df: pd.Series) -> pd.Series:
-    return _vectorised(two_sided_tail, t, df)
+    return _each(two_sided_tail, t, df)
 
 
 @F.pandas_udf(T.DoubleType())
 def t_critical(df: pd.Series, level: pd.Series) -> pd.Series:
-    return _vectorised(critical_value, df, level)
+    return _each(critical_value, df, level)

@@ -7,8 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tannin.functions.missing import POSITIVE_INFINITY, ieee_div
-from tannin.operators.spectra import in_band
+from tannin.functions.missing import INFINITY, ieee_div
 
 # The two wavelength bands of the slope ratio, in nm.
 BAND_275 = (275, 295)
@@ -16,11 +15,21 @@ BAND_350 = (350, 400)
 BANDS = {"275": BAND_275, "350": BAND_350}
 
 
-def log_point(band: tuple[float, float], value: str = "SUVA") -> Column:
-    """ln(value) inside the band, NULL where no finite logarithm exists."""
-    v = F.col(value)
-    usable = (v > 0) & (v < F.lit(POSITIVE_INFINITY))
-    return F.when(in_band(*band) & usable, F.ln(v))
+def within(band: tuple[float, float]) -> str:
+    """SQL text: the row's wavelength lies in the closed band."""
+    low, high = band
+    return f"wavelength between {low} and {high}"
+
+
+IN_ANY_BAND = f"({within(BAND_275)} or {within(BAND_350)})"
+
+
+def log_point(band: tuple[float, float], value: str = "SUVA") -> str:
+    """SQL text: ln(value) in the band, NULL where no finite logarithm exists."""
+    return (
+        f"case when {within(band)} and {value} > 0 and {value} < {INFINITY} "
+        f"then ln({value}) end"
+    )
 
 
 def band_slope(band: tuple[float, float], value: str = "SUVA") -> Column:
@@ -28,25 +37,25 @@ def band_slope(band: tuple[float, float], value: str = "SUVA") -> Column:
 
     NULL for fewer than two usable wavelengths.  Constant memory per group.
     """
-    return -F.regr_slope(log_point(band, value), F.col("wavelength").cast("double"))
+    return F.expr(f"-regr_slope({log_point(band, value)}, double(wavelength))")
 
 
 def band_intercept(band: tuple[float, float], value: str = "SUVA") -> Column:
-    """Aggregate: intercept of the same line."""
-    return F.regr_intercept(
-        log_point(band, value), F.col("wavelength").cast("double")
+    """Aggregate: intercept of the same line; the mean where it has no slope."""
+    point = log_point(band, value)
+    return F.expr(
+        f"coalesce(regr_intercept({point}, double(wavelength)), avg({point}))"
     )
 
 
 def band_rows(band: tuple[float, float]) -> Column:
     """Aggregate: rows in the band, usable for the slope or not."""
-    return F.count_if(in_band(*band))
+    return F.expr(f"count_if({within(band)})")
 
 
 def band_nonfinite(band: tuple[float, float], value: str = "SUVA") -> Column:
     """Aggregate: rows in the band whose logarithm is infinite."""
-    v = F.col(value)
-    return F.count_if(in_band(*band) & ((v == 0) | (v == F.lit(POSITIVE_INFINITY))))
+    return F.expr(f"count_if({within(band)} and {value} in (0, {INFINITY}))")
 
 
 def spectral_slope(
@@ -55,7 +64,7 @@ def spectral_slope(
     """Intercept and slope of one band per group with a row in the band."""
     limits = BANDS[band]
     return (
-        spectrum.where(in_band(*limits)).groupBy(*keys)
+        spectrum.where(within(limits)).groupBy(*keys)
         .agg(
             band_intercept(limits, value).alias(f"intercept{band}"),
             band_slope(limits, value).alias(f"slope{band}"),
@@ -84,13 +93,13 @@ def slope_ratio(
 
     One conditional aggregate instead of two fits and a join.
     """
-    used = spectrum.where(in_band(*BAND_275) | in_band(*BAND_350))
-    return with_ratio(used.groupBy(*keys).agg(*slope_columns(value)), ratio)
+    slopes = spectrum.where(IN_ANY_BAND).groupBy(*keys).agg(*slope_columns(value))
+    return with_ratio(slopes, ratio)
 
 
 def with_ratio(slopes: DataFrame, ratio: str) -> DataFrame:
     return (
-        slopes.where((F.col("rows275") > 0) & (F.col("rows350") > 0))
+        slopes.where("rows275 > 0 and rows350 > 0")
         .drop("rows275", "rows350")
         .withColumn(ratio, ieee_div("slope275", "slope350"))
     )

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tannin.functions.missing import (
-    drop_incomplete, ieee_div, nan_to_null, strict_avg,
+    drop_incomplete, ieee_div, known, nan_to_null, strict_avg,
 )
 from tannin.operators.merging import merge_tables
 
@@ -64,18 +64,20 @@ def analyte_slice(chem: DataFrame, analyte: str) -> DataFrame:
 
 def analyte_means(chem: DataFrame, *analytes: str) -> DataFrame:
     """One row per sample with the mean of each analyte's repeated analyses."""
-    wanted = chem.where(F.col("analyte").isin(*analytes))
-    value = nan_to_null("analyteConcentration")
+    value = known("analyteConcentration")
 
     def mean(analyte: str) -> Column:
-        own = F.col("analyte") == analyte
-        complete = F.count(F.when(own, value)) == F.count(F.when(own, F.lit(1)))
-        return F.when(complete, F.avg(F.when(own, value))).alias(analyte)
+        own = f"filter (where analyte = '{analyte}')"
+        return F.expr(
+            f"case when count({value}) {own} = count(1) {own} "
+            f"then avg({value}) {own} end"
+        ).alias(analyte)
 
+    wanted = chem.where(F.col("analyte").isin(*analytes))
     return wanted.groupBy("sampleID").agg(*(mean(a) for a in analytes))
 
 
-def suva(absorbance: Column | str, doc: Column | str) -> Column:
+def suva(absorbance: str, doc: str) -> Column:
     """Specific absorbance in L/(mg m)."""
     return ieee_div(absorbance, doc) * 100
 
@@ -111,13 +113,9 @@ def wavelength_at(df: DataFrame, *wavelengths: float) -> DataFrame:
     return df.where(F.col("wavelength").isin(*wavelengths))
 
 
-def in_band(low: float, high: float) -> Column:
-    return F.col("wavelength").between(low, high)
-
-
 def wavelength_band(df: DataFrame, low: float, high: float) -> DataFrame:
     """Rows within a closed wavelength interval."""
-    return df.where(in_band(low, high))
+    return df.where(F.col("wavelength").between(low, high))
 
 
 def mean_spectra(spectrum: DataFrame, keys: Sequence[str] = SITE_DATE) -> DataFrame:

@@ -218,13 +218,14 @@ def _bandwidth() -> Column:
 def _line_moments(df: DataFrame, y: str, x: str, by: Sequence[str]) -> DataFrame:
     """One pass of regression aggregates over the finite pairs."""
     pair = is_finite(y) & is_finite(x)
-    known = nan_to_null(y).isNotNull() & nan_to_null(x).isNotNull()
+    present = nan_to_null(y).isNotNull() & nan_to_null(x).isNotNull()
     ys, xs = F.when(pair, F.col(y)).cast("double"), F.when(pair, F.col(x)).cast("double")
     return df.groupBy(*by).agg(
         F.regr_count(ys, xs).alias("n"),
-        F.count_if(known & ~pair).alias("nonfinite"),
+        F.count_if(present & ~pair).alias("nonfinite"),
         F.regr_slope(ys, xs).alias("slope"),
-        F.regr_intercept(ys, xs).alias("intercept"),
+        # without a spread in x the fit is the mean alone
+        F.coalesce(F.regr_intercept(ys, xs), F.regr_avgy(ys, xs)).alias("intercept"),
         F.regr_avgx(ys, xs).alias("mean_x"),
         F.regr_sxx(ys, xs).alias("sxx"), F.regr_syy(ys, xs).alias("syy"),
         F.regr_sxy(ys, xs).alias("sxy"),
@@ -234,8 +235,12 @@ def _line_moments(df: DataFrame, y: str, x: str, by: Sequence[str]) -> DataFrame
 
 def _residual_spread(moments: DataFrame) -> DataFrame:
     explained = F.try_divide(F.col("sxy") * F.col("sxy"), F.col("sxx"))
-    left = F.greatest(F.col("syy") - explained, F.lit(0.0))
-    return moments.withColumns({"df": F.col("n") - 2, "rss": left}).withColumn(
+    left = F.col("syy") - F.coalesce(explained, F.lit(0.0))
+    fitted = F.when(F.col("slope").isNotNull(), 2).otherwise(1)
+    return moments.withColumns({
+        "df": F.when(F.col("n") > 0, F.col("n") - fitted),
+        "rss": F.greatest(left, F.lit(0.0)),
+    }).withColumn(
         "sigma", F.when(F.col("df") > 0, F.sqrt(F.col("rss") / F.col("df")))
     )
 
@@ -244,12 +249,14 @@ def linear_fit(df: DataFrame, y: str, x: str, by: Sequence[str] = ()) -> DataFra
     """Least-squares line of y on x per group, with the usual test statistics.
 
     Pairs with a missing value are left out, as are infinite ones, which
-    ``nonfinite`` counts.  A group without usable pairs has a NULL line.
+    ``nonfinite`` counts.  Without a spread in x the intercept is the mean of
+    y and the slope NULL; without usable pairs both are NULL.
     """
     fit = _residual_spread(_line_moments(df, y, x, by))
     se_slope = F.try_divide(F.col("sigma"), F.sqrt("sxx"))
+    off = F.try_divide(F.col("mean_x") * F.col("mean_x"), F.col("sxx"))
     se_intercept = F.col("sigma") * F.sqrt(
-        1 / F.col("n") + F.try_divide(F.col("mean_x") * F.col("mean_x"), F.col("sxx"))
+        F.try_divide(F.lit(1.0), "n") + F.coalesce(off, F.lit(0.0))
     )
     r2 = F.when(F.col("syy") > 0, 1 - F.col("rss") / F.col("syy"))
     fit = fit.withColumns({
@@ -264,9 +271,9 @@ def linear_fit(df: DataFrame, y: str, x: str, by: Sequence[str] = ()) -> DataFra
     }).withColumn("f_statistic", F.col("t_slope") * F.col("t_slope"))
     freedom = F.col("df").cast("double")
     return fit.withColumns({
-        "p_intercept": nan_to_null(t_two_sided_p("t_intercept", freedom)),
+        "p_intercept": t_two_sided_p("t_intercept", freedom),
         # with one predictor the F test is the slope's t test
-        "p_slope": nan_to_null(t_two_sided_p("t_slope", freedom)),
+        "p_slope": t_two_sided_p("t_slope", freedom),
     }).select(
         *by, "n", "nonfinite", "df", "intercept", "slope",
         "se_intercept", "se_slope", "t_intercept", "t_slope",
@@ -312,7 +319,7 @@ def linear_fit_band(
         F.col("slope").isNotNull()
     )
     fit = fit.withColumn(
-        "t", nan_to_null(t_critical(F.col("df").cast("double"), F.lit(level)))
+        "t", t_critical(F.col("df").cast("double"), F.lit(level))
     )
     step = (F.col("max_x") - F.col("min_x")) / (points - 1)
     grid = fit.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))

@@ -18,15 +18,14 @@ from tannin.functions.missing import (
     drop_incomplete, ieee_div, strict_avg, strict_stddev,
 )
 from tannin.operators.iron import (
-    IRON_AT_254, IRON_AT_350, band_coefficient, iron_free,
+    BAND_COEFFICIENT, IRON_AT_254, IRON_AT_350, iron_free,
 )
 from tannin.operators.merging import merge_tables
 from tannin.operators.slopes import (
-    BAND_275, BAND_350, band_rows, band_slope,
+    BAND_275, BAND_350, IN_ANY_BAND, band_rows, band_slope,
 )
 from tannin.operators.spectra import (
-    SAMPLE_ATTRIBUTES, analyte_means, analyte_slice, average_replicates, in_band,
-    suva,
+    SAMPLE_ATTRIBUTES, analyte_means, analyte_slice, average_replicates, suva,
 )
 
 # The single wavelengths of the metrics, in nm.
@@ -40,19 +39,20 @@ CORRECTED = ["Fe", "correctedSUVA254", "correctedSUVA350", "correctedSR"]
 RAW_NAMES = {"SUVA254": "rawSUVA254", "SUVA350": "rawSUVA350", "SR": "rawSR"}
 
 
-def _used_wavelengths() -> Column:
-    return (
-        F.col("wavelength").isin(AT_250, AT_254, *NEAR_365)
-        | in_band(*BAND_275) | in_band(*BAND_350)
-    )
+def _at(*wavelengths: float) -> str:
+    return f"wavelength in ({', '.join(map(str, wavelengths))})"
 
 
-def _at(*wavelengths: float) -> Column:
-    return F.col("wavelength").isin(*wavelengths)
+USED_WAVELENGTHS = f"{_at(AT_250, AT_254, *NEAR_365)} or {IN_ANY_BAND}"
+BOTH_BANDS = "rows275 > 0 and rows350 > 0"
 
 
 def _value_at(wavelength: float, column: str) -> Column:
-    return F.max(F.when(_at(wavelength), F.col(column)))
+    return F.expr(f"max({column}) filter (where {_at(wavelength)})")
+
+
+def _mean_near_365() -> Column:
+    return F.expr(f"avg(absorbance) filter (where {_at(*NEAR_365)})")
 
 
 def _known(chem: DataFrame, analyte: str) -> DataFrame:
@@ -64,7 +64,7 @@ def _spectrum(scan: DataFrame, lab: DataFrame) -> DataFrame:
 
     ``lab`` has DOC per sample and may have iron, which may be missing.
     """
-    averaged = drop_incomplete(average_replicates(scan.where(_used_wavelengths())))
+    averaged = drop_incomplete(average_replicates(scan.where(USED_WAVELENGTHS)))
     joined = merge_tables(averaged, drop_incomplete(lab, ["DOC"]), ["sampleID"])
     spectrum = joined.withColumn("SUVA", suva("absorbance", "DOC"))
     return drop_incomplete(spectrum, [c for c in spectrum.columns if c != "Fe"])
@@ -76,7 +76,10 @@ def _raw_profile() -> list[Column]:
     Site, domain, date and DOC are those of the 254 nm row, so a sample
     without one has none.
     """
-    fingerprint = F.when(_at(AT_254), F.xxhash64(*SAMPLE_ATTRIBUTES))
+    fingerprint = f"xxhash64({', '.join(SAMPLE_ATTRIBUTES)})"
+    conflict = " <> ".join(
+        f"{end}({fingerprint}) filter (where {_at(AT_254)})" for end in ("min", "max")
+    )
     return [
         *(_value_at(AT_254, c).alias(c) for c in (*SAMPLE_ATTRIBUTES, "DOC")),
         _value_at(AT_254, "SUVA").alias("SUVA254"),
@@ -84,12 +87,12 @@ def _raw_profile() -> list[Column]:
         _value_at(AT_254, "absorbance").alias("abs254"),
         _value_at(AT_350, "absorbance").alias("abs350"),
         _value_at(AT_250, "absorbance").alias("abs250"),
-        F.avg(F.when(_at(*NEAR_365), F.col("absorbance"))).alias("abs365"),
+        _mean_near_365().alias("abs365"),
         band_rows(BAND_275).alias("rows275"),
         band_rows(BAND_350).alias("rows350"),
         band_slope(BAND_275).alias("slope275"),
         band_slope(BAND_350).alias("slope350"),
-        (F.min(fingerprint) != F.max(fingerprint)).alias("conflict"),
+        F.expr(conflict).alias("conflict"),
     ]
 
 
@@ -109,35 +112,27 @@ def _with_corrections(spectrum: DataFrame) -> DataFrame:
     return spectrum.withColumns({
         "corrected254": suva(iron_free("absorbance", IRON_AT_254), "DOC"),
         "corrected350": suva(iron_free("absorbance", IRON_AT_350), "DOC"),
-        "correctedSUVA": suva(iron_free("absorbance", band_coefficient()), "DOC"),
+        "correctedSUVA": suva(iron_free("absorbance", BAND_COEFFICIENT), "DOC"),
     })
 
 
-def _both_bands() -> Column:
-    return (F.col("rows275") > 0) & (F.col("rows350") > 0)
-
-
 def _ratios(profile: DataFrame) -> DataFrame:
     """Add E2E3 and SR; keep samples that some metric has a row for."""
-    single = (
-        F.col("abs254").isNotNull() | F.col("abs350").isNotNull()
-        | F.col("abs250").isNotNull() | F.col("abs365").isNotNull()
-    )
-    conflict = F.raise_error(
-        F.concat(F.lit("attributes differ within sample "), F.col("sampleID"))
-    )
-    site = F.when(F.col("conflict"), conflict).otherwise(F.col("siteID"))
-    return (
-        profile.where(single | _both_bands())
-        .withColumn("siteID", site)
-        .withColumn("E2E3", ieee_div("abs250", "abs365"))
-        .withColumn("SR", F.when(_both_bands(), ieee_div("slope275", "slope350")))
+    single = "coalesce(abs254, abs350, abs250, abs365) is not null"
+    site = (
+        "case when conflict then raise_error(concat('attributes differ within "
+        "sample ', sampleID)) else siteID end"
     )
+    return profile.where(f"{single} or ({BOTH_BANDS})").withColumns({
+        "siteID": F.expr(site),
+        "E2E3": ieee_div("abs250", "abs365"),
+        "SR": F.when(F.expr(BOTH_BANDS), ieee_div("slope275", "slope350")),
+    })
 
 
 def _corrected_ratio(profile: DataFrame) -> DataFrame:
     ratio = ieee_div("correctedSlope275", "correctedSlope350")
-    return profile.withColumn("correctedSR", F.when(_both_bands(), ratio))
+    return profile.withColumn("correctedSR", F.when(F.expr(BOTH_BANDS), ratio))
 
 
 def _per_analysis(profile: DataFrame, lab: DataFrame, absorbance: str) -> DataFrame:
@@ -146,12 +141,14 @@ def _per_analysis(profile: DataFrame, lab: DataFrame, absorbance: str) -> DataFr
     0/0 is missing, so such a pair has no row.  Samples without any row at
     that wavelength stay, with the analysis missing.
     """
-    analyses = lab.alias("lab")
-    row_exists = F.col(absorbance).isNotNull() & ~(
-        (F.col(absorbance) == 0) & (F.col("lab.DOC") == 0)
+    same = "profile.sampleID = lab.sampleID"
+    row_exists = (
+        f"profile.{absorbance} is not null "
+        f"and not (profile.{absorbance} = 0 and lab.DOC = 0)"
+    )
+    return profile.alias("profile").join(
+        lab.alias("lab"), F.expr(f"{same} and {row_exists}"), "left"
     )
-    same = F.col("profile.sampleID") == F.col("lab.sampleID")
-    return profile.alias("profile").join(analyses, same & row_exists, "left")
 
 
 def _cross_raw(profile: DataFrame, doc: DataFrame) -> DataFrame:
@@ -174,12 +171,12 @@ def _cross_corrected(rows: DataFrame, doc: DataFrame, iron: DataFrame) -> DataFr
     base = rows.select(*(c for c in rows.columns if c not in dropped))
     base = _per_analysis(base, lab, "abs254").select(
         "profile.*", F.col("lab.Fe").alias("Fe"),
-        suva(F.col("abs254") - IRON_AT_254 * F.col("lab.Fe"), "lab.DOC")
+        suva(iron_free("abs254", IRON_AT_254, "lab.Fe"), "lab.DOC")
         .alias("correctedSUVA254"),
     )
     return _per_analysis(base, lab, "abs350").select(
         "profile.*",
-        suva(F.col("abs350") - IRON_AT_350 * F.col("lab.Fe"), "lab.DOC")
+        suva(iron_free("abs350", IRON_AT_350, "lab.Fe"), "lab.DOC")
         .alias("correctedSUVA350"),
     )
 
@@ -221,7 +218,7 @@ def corrected_metrics(
         spectrum.groupBy("sampleID").agg(*_raw_profile(), *_iron_profile())
     ))
     if not with_raw:
-        profile = profile.where(F.col("rowsFe") > 0)
+        profile = profile.where("rowsFe > 0")
         if doc is not None:
             profile = _cross_corrected(profile, doc, iron)
         return profile.select("sampleID", *CORRECTED)
@@ -246,7 +243,7 @@ def e2_e3(spectrum: DataFrame) -> DataFrame:
         spectrum.where(_at(AT_250, *NEAR_365)).groupBy("sampleID")
         .agg(
             _value_at(AT_250, "absorbance").alias("abs250"),
-            F.avg(F.when(_at(*NEAR_365), F.col("absorbance"))).alias("abs365"),
+            _mean_near_365().alias("abs365"),
         )
         .select("sampleID", ieee_div("abs250", "abs365").alias("E2E3"))
     )
