@@ -83,11 +83,12 @@ def _read_product(spark, d):
     """Write both product tables, read them back restricted."""
     scan, chem = _inputs(spark, d)
     root = sinks.scratch_path(spark, "product")
-    names = {"swc_externalLabAbsorbanceScan": scan, "swc_externalLabDataByAnalyte": chem}
-    for name, df in names.items():
-        sinks.write_table(df, f"{root}/{name}", fmt="parquet")
+    for name, df in (("swc_externalLabAbsorbanceScan", scan),
+                     ("swc_externalLabDataByAnalyte", chem)):
+        layout = [c for c in ("siteID",) if c in df.columns]
+        sinks.write_table(df, f"{root}/{name}", fmt="parquet", partition_by=layout)
     tables = sources.read_product(
-        spark, root, [next(iter(names))], sites=["N1", "N4"], start="2023-10",
+        spark, root, ["swc_externalLabAbsorbanceScan"], sites=["N1", "N4"], start="2023-10",
         end="2023-11", include_provisional=False,
     )
     found = sources.table_by_pattern(tables, "AbsorbanceScan")

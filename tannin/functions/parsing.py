@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 DATE_TIME = r"^\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}:\d{2}([.]\d{1,6})?Z?$"
 NUMBER_IN_TEXT = r"-?(?:[0-9][0-9,]*(?:[.][0-9]*)?|[.][0-9]+)"
 
-HALF_BUCKET = "150 seconds"
+# The sensor's averaging interval and half of it.
 BUCKET = "5 minutes"
+HALF_BUCKET = "150 seconds"
 
 
 def _col(c: Column | str) -> Column:
@@ -43,11 +44,13 @@ def parse_timestamp(c: Column | str, strict: bool = True) -> Column:
 
 
 def round_5min(ts: Column | str) -> Column:
-    """Nearest multiple of five minutes, ties upward.
+    """Nearest multiple of five minutes, ties upward; NULL stays NULL.
 
-    A tumbling window shifted by half a bucket runs from 2.5 minutes before
-    each multiple to 2.5 minutes after it, so the multiple is its middle.
-    Works for both timestamp types and on streams.
+    Half an interval is added, then everything beyond the last multiple of
+    five minutes taken off.  Keeps the timestamp type it is given.
     """
-    shifted = F.window(_col(ts), BUCKET, BUCKET, HALF_BUCKET)
-    return shifted.getField("start") + F.expr(f"INTERVAL {HALF_BUCKET}")
+    later = _col(ts) + F.expr(f"INTERVAL {HALF_BUCKET}")
+    beyond = F.make_dt_interval(
+        F.lit(0), F.lit(0), F.minute(later) % 5, F.extract(F.lit("SECOND"), later)
+    )
+    return later - beyond

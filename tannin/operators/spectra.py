@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tannin.functions.missing import (
     drop_incomplete, ieee_div, known, nan_to_null, strict_avg,
 )
-from tannin.operators.merging import merge_tables
+from tannin.operators.merging import attach, merge_tables
 
 SAMPLE_ATTRIBUTES = ("domainID", "siteID", "collectDate")
 SITE_DATE = ("siteID", "collectDate")
@@ -179,8 +179,7 @@ def group_mean_on_rows(
     of a group in one task.
     """
     means = spectrum.groupBy(*keys).agg(F.avg(nan_to_null("SUVA")).alias("SUVA"))
-    joined = merge_tables(spectrum.drop("SUVA"), means, keys, null_safe=True)
-    return joined.select(*spectrum.columns)
+    return attach(spectrum.drop("SUVA"), means, keys).select(*spectrum.columns)
 
 
 def spectrum_series(

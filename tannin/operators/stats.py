@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tannin.functions.missing import is_finite, nan_to_null
 from tannin.functions.student_t import t_critical, t_two_sided_p
-from tannin.operators.merging import merge_tables
+from tannin.operators.merging import attach, merge_tables
 from tannin.sources.sinks import materialize
 
 # Rank error of the quantile sketch is one in this many rows.
@@ -18,6 +18,9 @@ SKETCH_ACCURACY = 10_000
 # Groups up to this size skip the bracketing of exact quantiles.
 SMALL_GROUP = 2 * SKETCH_ACCURACY
 
+# Most rows a table of per-group results may have to be broadcast.
+LOOKUP_ROWS = 50_000
+
 QUARTILES = (0.25, 0.5, 0.75)
 
 # Fences in interquartile ranges, grid sizes, the normal
@@ -43,8 +46,8 @@ def exact_quantiles(
     Exact, yet no task ever holds a whole group.  A mergeable sketch brackets
     each wanted rank; then one aggregate counts the rows below the bracket
     and the rows per distinct value inside it, which are few, and only those
-    are ranked.  The stored brackets keep both counts consistent when lost
-    work is redone.  Reads ``df`` twice: materialize it if it is costly.
+    are ranked.  The brackets are fixed before they are used, so both counts
+    stay consistent when lost work is redone.  Reads ``df`` twice: materialize it if it is costly.
     """
     rows = df.where(is_finite(value)).select(*by, F.col(value).alias("_x"))
     margin = 2.0 / SKETCH_ACCURACY
@@ -67,9 +70,9 @@ def exact_quantiles(
             (rank - F.floor(rank)).alias("weight"),
         )
 
-    brackets = materialize(sketch.select(
+    brackets = sketch.select(
         *by, "n", F.array(*(bracket(i, p) for i, p in enumerate(probs))).alias("w")
-    ))
+    )
     wanted = _join_groups(rows, brackets, by).select(
         *by, "n", "_x", F.explode("w").alias("w")
     ).where(F.col("w.high").isNull() | (F.col("_x") <= F.col("w.high")))
@@ -104,12 +107,21 @@ def exact_quantiles(
 
 
 def _join_groups(rows: DataFrame, groups: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Attach per-group values to rows; one-row ``groups`` when not grouped."""
-    if by:
-        return merge_tables(rows, groups, by, null_safe=True)
-    one = groups.select(F.struct(*groups.columns).alias("g")).scalar()
-    with_one = rows.withColumn("g", one).where(F.col("g").isNotNull())
-    return with_one.select(*rows.columns, "g.*")
+    """Add per-group columns to rows.
+
+    The group table is stored first: every reader then sees the same values,
+    and its size is known.  Small, it is broadcast and the rows stay where they
+    are; large, it is joined with the rows of each group spread out.  Without
+    grouping it is one row and becomes a scalar.
+    """
+    if not by:
+        one = groups.select(F.struct(*groups.columns).alias("g")).scalar()
+        with_one = rows.withColumn("g", one).where(F.col("g").isNotNull())
+        return with_one.select(*rows.columns, "g.*")
+    stored = materialize(groups)
+    if stored.limit(LOOKUP_ROWS + 1).count() > LOOKUP_ROWS:
+        return attach(rows, stored, by)
+    return merge_tables(rows, F.broadcast(stored), by, null_safe=True)
 
 
 def box_stats(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
@@ -141,7 +153,8 @@ def _within_fences(value: str) -> Column:
 
 
 def _box(rows: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
-    joined = _join_groups(rows, exact_quantiles(rows, value, QUARTILES, by), by)
+    quartiles = exact_quantiles(rows, value, QUARTILES, by)
+    joined = _join_groups(rows, quartiles, by)
     inner = F.when(_within_fences(value), F.col(value))
     return joined.groupBy(*by, "n", "q0", "q1", "q2").agg(
         F.min(inner).alias("low"), F.max(inner).alias("high"),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tannin.functions.missing import strict_avg
 from tannin.functions.parsing import round_5min
-from tannin.operators.merging import merge_tables
+from tannin.operators.merging import attach
 from tannin.operators.stats import fit_summary
 
 # Sensor positions where fDOM is measured.
@@ -58,7 +58,7 @@ def pair_doc_fdom(
     """
     doc = doc_by_time(chem)
     fdom = fdom_5min(sensor, by).withColumnRenamed("startDateTime", "collectDate")
-    pairs = merge_tables(doc, fdom, ["collectDate", *by], "left")
+    pairs = attach(doc, fdom, ["collectDate", *by], "left", null_safe=False)
     return pairs.select("collectDate", "domainID", "siteID", "DOC", "fDOM")
 
 

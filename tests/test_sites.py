@@ -258,3 +258,11 @@ def test_grouped_summary(spark):
     got = {r.g: r for r in stats.fit_summary(df, "y", "x", ["g"]).collect()}
     assert got["b"].slope - got["a"].slope == pytest.approx(1.0)
     assert got["a"].residual_max == pytest.approx(got["b"].residual_max)
+
+
+def test_many_groups_are_joined_without_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(stats, "LOOKUP_ROWS", 1)
+    df = slopes(spark, [(k, float(v)) for k in ("A", "B", None) for v in range(9)] * 3)
+    got = stats.box_stats(df, "Sr", ["siteID"]).collect()
+    assert {(r.siteID, r.n, r.middle, r.ymax) for r in got} == {
+        (k, 27, 4.0, 8.0) for k in ("A", "B", None)}

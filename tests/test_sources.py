@@ -150,20 +150,21 @@ def reading(seconds, value, site="A", position="102"):
 def test_pairing(spark):
     lab = spark.createDataFrame([
         grab(10, 1.0), grab(10, 3.0), grab(20, 5.0), grab(700, 7.0), grab(1200, 8.0),
-        grab(1200, None), grab(10, 9.0, analyte="Fe"), grab(10, 6.0, site="B")], GRAB)
+        grab(1200, None), (None, "A", "D", "DOC", 4.0), grab(10, 9.0, analyte="Fe"), grab(10, 6.0, site="B")], GRAB)
     sensor = spark.createDataFrame([
         reading(0, 10.0), reading(149, 20.0, position="112"), reading(150, 99.0),
-        reading(5, 50.0, position="101"), reading(600, 1.0), reading(610, None)], SENSOR)
+        (None, "A", "102", 1.0), reading(5, 50.0, position="101"), reading(600, 1.0), reading(610, None)], SENSOR)
     got = doc_fdom.pair_doc_fdom(lab, sensor)
     assert got.columns == ["collectDate", "domainID", "siteID", "DOC", "fDOM"]
     rows = sorted(((r.siteID, (r.collectDate - DAY).seconds, r.DOC, r.fDOM)
-                   for r in got.collect()), key=str)
+                   for r in got.collect() if r.collectDate), key=str)
+    assert one(got.where("collectDate is null"))["DOC"] == 4.0
     assert rows == [
         ("A", 0, 2.0, 15.0), ("A", 0, 5.0, 15.0), ("A", 1200, None, None),
         ("A", 600, 7.0, None), ("B", 0, 6.0, None),
     ]
     single = doc_fdom.pair_doc_fdom(lab.where("siteID = 'A'"), sensor.drop("siteID"), by=())
-    assert single.count() == 4
+    assert single.count() == 5
 
 
 def test_pairing_fit(spark):
