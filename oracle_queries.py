@@ -121,18 +121,44 @@ def _ratio(keys: str, source: str, name: str = '"Sr"', value: str = '"SUVA"') ->
 
 _SITE_DATE = '"siteID", "collectDate"'
 
+def _corrected(source: str) -> str:
+    return f"""
+        select *, (absorbance - 0.0570e0 * "Fe") as "correctedAbsorbance",
+               (absorbance - 0.0570e0 * "Fe") / "DOC" * 100 as "correctedSUVA"
+        from {source} where wavelength between 275 and 295
+        union all
+        select *, (absorbance - 0.0118e0 * "Fe"),
+               (absorbance - 0.0118e0 * "Fe") / "DOC" * 100
+        from {source} where wavelength between 350 and 400"""
+
+
+_IRON_STEPS = {
+    "spectrum_with_iron": """
+        select s.*, i."Fe" from spectrum s join iron i using ("sampleID")
+        where i."Fe" is not null""",
+}
+
 _METRIC_STEPS = {
+    "lab": """
+        select "sampleID",
+               avg("analyteConcentration") filter (where analyte = 'DOC') as "DOC",
+               avg("analyteConcentration") filter (where analyte = 'Fe') as "Fe"
+        from chem group by "sampleID" """,
+    "sampled": """
+        select a.*, "DOC", "Fe", absorbance / "DOC" * 100 as "SUVA"
+        from averaged a join lab using ("sampleID")
+        where absorbance is not null and "DOC" is not null""",
     "at254": """select "sampleID", "domainID", "siteID", "collectDate", "DOC",
-                       "SUVA" as "SUVA254" from spectrum where wavelength = 254""",
-    "at350": """select "sampleID", "SUVA" as "SUVA350" from spectrum
+                       "SUVA" as "SUVA254" from sampled where wavelength = 254""",
+    "at350": """select "sampleID", "SUVA" as "SUVA350" from sampled
                 where wavelength = 350""",
-    "at250": """select "sampleID", absorbance as abs250 from spectrum
+    "at250": """select "sampleID", absorbance as abs250 from sampled
                 where wavelength = 250""",
-    "at365": """select "sampleID", avg(absorbance) as abs365 from spectrum
+    "at365": """select "sampleID", avg(absorbance) as abs365 from sampled
                 where wavelength in (364, 366) group by "sampleID" """,
     "e2e3": """select "sampleID", abs250 / abs365 as "E2E3"
                from at250 full join at365 using ("sampleID")""",
-    "sr": _ratio('"sampleID"', "spectrum", '"SR"'),
+    "sr": _ratio('"sampleID"', "sampled", '"SR"'),
     "metrics": """
         select "sampleID", "domainID", "siteID", "collectDate", "DOC", "SUVA254",
                "SUVA350", "E2E3", "SR"
@@ -140,16 +166,8 @@ _METRIC_STEPS = {
              full join e2e3 using ("sampleID")
              full join (select "sampleID", "SR" from sr) s using ("sampleID")""",
     "with_iron": """
-        select spectrum.*, "Fe" from spectrum join iron using ("sampleID")
-        where "Fe" is not null""",
-    "corrected_bands": """
-        select *, (absorbance - 0.0570e0 * "Fe") as "correctedAbsorbance",
-               (absorbance - 0.0570e0 * "Fe") / "DOC" * 100 as "correctedSUVA"
-        from with_iron where wavelength between 275 and 295
-        union all
-        select *, (absorbance - 0.0118e0 * "Fe"),
-               (absorbance - 0.0118e0 * "Fe") / "DOC" * 100
-        from with_iron where wavelength between 350 and 400""",
+        select * from sampled where "Fe" is not null""",
+    "corrected_bands": _corrected("with_iron"),
     "corrected_sr": _ratio('"sampleID"', "corrected_bands", '"correctedSR"',
                            '"correctedSUVA"'),
     "corrected": """
@@ -428,7 +446,7 @@ _QUERIES: dict[str, tuple[dict[str, str], str, str]] = {
     "spectral_slope": (_S, f"""
         select *, cast(0 as bigint) as nonfinite275
         from ({_line('"sampleID"', 'spectrum', '275')}) x""", "intercept275 slope275"),
-    "slope_ratio": (_M, "select * from sr",
+    "slope_ratio": (_S, _ratio('"sampleID"', "spectrum", '"SR"'),
                     _SLOPE_DOUBLES.replace("Sr", "SR")),
     "sample_metrics": (_M, "select * from metrics", _METRIC_DOUBLES),
     "site_statistics": (_M, """
@@ -438,8 +456,9 @@ _QUERIES: dict[str, tuple[dict[str, str], str, str]] = {
             for c in ("DOC", "SUVA254", "SUVA350", "SR")
         ) + ' from metrics group by "siteID"',
         " ".join(f"mean{c} sd{c}" for c in ("DOC", "SUVA254", "SUVA350", "SR"))),
-    "fe_join": (_M, "select * from with_iron", _SPECTRUM_DOUBLES + " Fe"),
-    "fe_corrected_spectrum": (_M, "select * from corrected_bands",
+    "fe_join": ({**_S, **_IRON_STEPS}, "select * from spectrum_with_iron",
+                _SPECTRUM_DOUBLES + " Fe"),
+    "fe_corrected_spectrum": ({**_S, **_IRON_STEPS}, _corrected("spectrum_with_iron"),
                               _SPECTRUM_DOUBLES + " Fe correctedAbsorbance correctedSUVA"),
     "corrected_metrics": (_M, "select * from corrected", _CORRECTED_DOUBLES),
     "raw_vs_corrected": (_M, """
