@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tannin.functions.missing import is_finite, nan_to_null
 from tannin.functions.student_t import t_critical, t_two_sided_p
 from tannin.operators.merging import attach, merge_tables
-from tannin.sources.sinks import materialize
+from tannin.sources.sinks import is_small, materialize
 
 # Rank error of the quantile sketch is one in this many rows.
 SKETCH_ACCURACY = 10_000
@@ -106,11 +106,13 @@ def exact_quantiles(
     )
 
 
-def _join_groups(rows: DataFrame, groups: DataFrame, by: Sequence[str]) -> DataFrame:
+def _join_groups(
+    rows: DataFrame, groups: DataFrame, by: Sequence[str], stored: bool = False
+) -> DataFrame:
     """Add per-group columns to rows.
 
-    The group table is stored first: every reader then sees the same values,
-    and its size is known.  Small, it is broadcast and the rows stay where they
+    The group table is stored first, unless it is: every reader then sees the
+    same values, and its size is known.  Small, it is broadcast and the rows stay where they
     are; large, it is joined with the rows of each group spread out.  Without
     grouping it is one row and becomes a scalar.
     """
@@ -118,10 +120,10 @@ def _join_groups(rows: DataFrame, groups: DataFrame, by: Sequence[str]) -> DataF
         one = groups.select(F.struct(*groups.columns).alias("g")).scalar()
         with_one = rows.withColumn("g", one).where(F.col("g").isNotNull())
         return with_one.select(*rows.columns, "g.*")
-    stored = materialize(groups)
-    if stored.limit(LOOKUP_ROWS + 1).count() > LOOKUP_ROWS:
-        return attach(rows, stored, by)
-    return merge_tables(rows, F.broadcast(stored), by, null_safe=True)
+    groups = groups if stored else materialize(groups)
+    if is_small(groups, LOOKUP_ROWS):
+        return merge_tables(rows, F.broadcast(groups), by, null_safe=True)
+    return attach(rows, groups, by)
 
 
 def box_stats(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
@@ -180,7 +182,10 @@ def density_curve(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
     spread = rows.groupBy(*by).agg(
         F.stddev_samp(value).alias("sd"), F.min(value).alias("first")
     )
-    groups = _join_groups(spread, quartiles.where(F.col("n") > 1), by).select(
+    several = quartiles.where(F.col("n") > 1)
+    both = merge_tables(spread, several, by, null_safe=True) if by else \
+        _join_groups(spread, several, by)
+    groups = both.select(
         *by, "n", _bandwidth().alias("bw"),
         span.select(F.struct("lo", "hi")).scalar().alias("span"),
     )
@@ -199,7 +204,7 @@ def density_curve(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
         F.when(step > 0, F.ceil(grid_index(F.col(value) + reach)))
         .otherwise(DENSITY_GRID - 1).cast("int"),
     )
-    spreading = _join_groups(distinct, groups, by).select(
+    spreading = _join_groups(distinct, groups, by, stored=True).select(
         "*", F.explode(touched).alias("i")
     )
     u = (F.col("lo") + F.col("i") * step - F.col(value)) / F.col("bw")
@@ -304,7 +309,7 @@ def fit_summary(df: DataFrame, y: str, x: str, by: Sequence[str] = ()) -> DataFr
     )
     fit = materialize(linear_fit(pairs, y, x, by))
     line = fit.select(*by, "intercept", "slope")
-    residuals = _join_groups(pairs, line, by).select(
+    residuals = _join_groups(pairs, line, by, stored=True).select(
         *by,
         (F.col(y) - F.col("intercept") - F.col("slope") * F.col(x)).alias("residual"),
     )

@@ -9,8 +9,12 @@ from pyspark.sql import functions as F
 
 from tannin.functions.missing import strict_avg
 from tannin.functions.parsing import round_5min
-from tannin.operators.merging import attach
+from tannin.operators.merging import attach, merge_tables
 from tannin.operators.stats import fit_summary
+from tannin.sources.sinks import is_small, materialize
+
+# Most DOC collections whose buckets are broadcast; a bucket is some 40 bytes.
+BROADCAST_COLLECTIONS = 200_000
 
 # Sensor positions where fDOM is measured.
 SENSOR_POSITIONS = ("102", "112", "103")
@@ -34,20 +38,27 @@ def sensor_positions(sensor: DataFrame) -> DataFrame:
     return sensor.where(F.col("horizontalPosition").isin(*SENSOR_POSITIONS))
 
 
-def fdom_5min(sensor: DataFrame, keys: Sequence[str] = ("siteID",)) -> DataFrame:
-    """Mean sensor fDOM per 5-minute bucket; rounding comes first.
-
-    One missing reading makes the bucket missing.  Also works on a stream.
-    """
-    readings = sensor_positions(sensor).select(
+def _rounded_readings(sensor: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return sensor_positions(sensor).select(
         *keys, round_5min("startDateTime").alias("startDateTime"),
         "rawCalibratedfDOM",
     )
+
+
+def _bucket_means(readings: DataFrame, keys: Sequence[str]) -> DataFrame:
     return readings.groupBy("startDateTime", *keys).agg(
         strict_avg("rawCalibratedfDOM").alias("fDOM")
     )
 
 
+def fdom_5min(sensor: DataFrame, keys: Sequence[str] = ("siteID",)) -> DataFrame:
+    """Mean sensor fDOM per 5-minute bucket; rounding comes first.
+
+    One missing reading makes the bucket missing.
+    """
+    return _bucket_means(_rounded_readings(sensor, keys), keys)
+
+
 def pair_doc_fdom(
     chem: DataFrame, sensor: DataFrame, by: Sequence[str] = ("siteID",)
 ) -> DataFrame:
@@ -55,10 +66,28 @@ def pair_doc_fdom(
 
     ``by`` keeps sites apart; pass ``()`` for input of a single site whose
     sensor rows carry no site.
+
+    Collections are few beside sensor readings.  Their buckets are counted
+    first: when few enough to broadcast, readings outside them go before any
+    shuffle and averaging, and the means, no more than the buckets, are
+    broadcast in turn.  Otherwise all buckets are averaged and then reduced to
+    those with a collection.
     """
-    doc = doc_by_time(chem)
-    fdom = fdom_5min(sensor, by).withColumnRenamed("startDateTime", "collectDate")
-    pairs = attach(doc, fdom, ["collectDate", *by], "left", null_safe=False)
+    doc = materialize(doc_by_time(chem))
+    keys = ["collectDate", *by]
+    wanted = doc.select(
+        F.col("collectDate").alias("startDateTime"), *by
+    ).distinct()
+    readings = _rounded_readings(sensor, by)
+    on = wanted.columns
+    if is_small(doc, BROADCAST_COLLECTIONS):
+        matching = readings.join(F.broadcast(wanted), on, "left_semi")
+        fdom = _bucket_means(matching, by).withColumnRenamed("startDateTime", "collectDate")
+        pairs = merge_tables(doc, F.broadcast(fdom), keys, "left")
+    else:
+        means = _bucket_means(readings, by).join(wanted, on, "left_semi")
+        fdom = means.withColumnRenamed("startDateTime", "collectDate")
+        pairs = attach(doc, fdom, keys, "left", null_safe=False)
     return pairs.select("collectDate", "domainID", "siteID", "DOC", "fDOM")
 
 

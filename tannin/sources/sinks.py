@@ -81,3 +81,8 @@ def materialize(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def is_small(stored: DataFrame, rows: int) -> bool:
+    """Whether a stored table has at most ``rows`` rows."""
+    return stored.limit(rows + 1).count() <= rows

@@ -147,7 +147,9 @@ def reading(seconds, value, site="A", position="102"):
     return DAY + timedelta(seconds=seconds), site, position, value
 
 
-def test_pairing(spark):
+@pytest.mark.parametrize("bound", [10**6, 1])
+def test_pairing(spark, monkeypatch, bound):
+    monkeypatch.setattr(doc_fdom, "BROADCAST_COLLECTIONS", bound)
     lab = spark.createDataFrame([
         grab(10, 1.0), grab(10, 3.0), grab(20, 5.0), grab(700, 7.0), grab(1200, 8.0),
         grab(1200, None), (None, "A", "D", "DOC", 4.0), grab(10, 9.0, analyte="Fe"), grab(10, 6.0, site="B")], GRAB)
