@@ -7,103 +7,83 @@ each source row is already one measurement with its sample's attributes.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _tag(prefix: str, number: Column) -> Column:
-    return F.concat(F.lit(prefix), number.cast("string"))
-
-
-def _is_type(key: str, water: str | None) -> Column:
+def _is_type(key: str, water: str | None) -> str:
     """A third of the samples are ground water, the rest surface water."""
-    ground = F.col(key) % 3 == 0
-    return {None: F.lit(True), "ground": ground, "surface": ~ground}[water]
+    return {None: "true", "ground": f"{key} % 3 = 0", "surface": f"{key} % 3 <> 0"}[water]
 
 
 def scan(spark: SparkSession, sf_dir: str, water: str | None = None) -> DataFrame:
     """Absorbance readings: one sample per supplier, 101 wavelengths."""
-    key = F.col("l_suppkey")
-    step = F.col("l_partkey") % 101
-    day = ((key - key % 20) / 20).cast("int") * 9 % 820
-    reading = F.exp(F.lit(-0.015) * (2 * step)) * (0.5 + F.col("l_quantity") / 100)
-    return table(spark, sf_dir, "lineitem").where(_is_type("l_suppkey", water)).select(
-        _tag("S", key).alias("sampleID"),
-        _tag("D", key % 5).alias("domainID"),
-        _tag("N", key % 10).alias("siteID"),
-        F.date_add(F.lit("2023-10-01").cast("date"), day)
-        .cast("timestamp_ntz").alias("collectDate"),
-        (200 + 2 * step).alias("wavelength"),
-        F.when(F.col("l_linenumber") % 2 == 0, "A").otherwise("B").alias("replicate"),
-        F.when(F.col("l_orderkey") % 997 != 0, reading).alias("decadicAbsorbance"),
+    lines = table(spark, sf_dir, "lineitem").where(_is_type("l_suppkey", water))
+    return lines.selectExpr(
+        "concat('S', l_suppkey) as sampleID",
+        "concat('D', l_suppkey % 5) as domainID",
+        "concat('N', l_suppkey % 10) as siteID",
+        """cast(date_add(date '2023-10-01', cast((l_suppkey div 20) * 9 % 820 as int))
+                as timestamp_ntz) as collectDate""",
+        "200 + 2 * (l_partkey % 101) as wavelength",
+        "if(l_linenumber % 2 = 0, 'A', 'B') as replicate",
+        """case when l_orderkey % 997 <> 0
+                then exp(-0.015d * (2 * (l_partkey % 101))) * (0.5d + l_quantity / 100)
+           end as decadicAbsorbance""",
     )
 
 
 def chem(spark: SparkSession, sf_dir: str, water: str | None = None) -> DataFrame:
     """Analyses per supplier: DOC for ten in eleven, iron for six in seven."""
-    key = F.col("s_suppkey")
-    supplier = table(spark, sf_dir, "supplier").where(_is_type("s_suppkey", water))
-    doc = F.struct(
-        F.lit("DOC").alias("analyte"),
-        (1 + F.abs("s_acctbal") / 1000).alias("analyteConcentration"),
-        (key % 11 != 3).alias("present"),
-    )
-    iron = F.struct(
-        F.lit("Fe").alias("analyte"),
-        ((key % 13) / 50).alias("analyteConcentration"),
-        (key % 7 != 0).alias("present"),
-    )
-    return (
-        supplier.select(_tag("S", key).alias("sampleID"),
-                        F.explode(F.array(doc, iron)).alias("a"))
-        .where("a.present").select("sampleID", "a.analyte", "a.analyteConcentration")
-    )
+    suppliers = table(spark, sf_dir, "supplier").where(_is_type("s_suppkey", water))
+    return suppliers.selectExpr(
+        "concat('S', s_suppkey) as sampleID",
+        """inline(array(
+            struct('DOC' as analyte, 1d + abs(s_acctbal) / 1000 as analyteConcentration,
+                   s_suppkey % 11 <> 3 as present),
+            struct('Fe' as analyte, s_suppkey % 13 / 50d as analyteConcentration,
+                   s_suppkey % 7 <> 0 as present)))""",
+    ).where("present").drop("present")
 
 
 def sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Site metadata: one site per nation, numbers partly as text."""
-    key = F.col("n_nationkey")
-    lake = key % 2 == 0
-    return table(spark, sf_dir, "nation").select(
-        _tag("N", key).alias("site_id"),
-        F.when(key % 3 == 0, "Core Aquatic").when(key % 3 == 1, "Gradient Aquatic")
-        .otherwise("Core Terrestrial").alias("site_type"),
-        F.when(lake, "Lake").otherwise("Wadeable Stream").alias("site_subtype"),
-        (20.0 + key * key % 23).alias("latitude"),
-        (-70.0 - key * 7 % 19).alias("longitude"),
-        F.when(key % 9 == 4, "unknown").otherwise((100 + key * 10).cast("string"))
-        .alias("mean_evelation_m"),
-        (key * 25 % 311).cast("string").alias("mean_annual_precipitation_mm"),
-        F.concat((key * 5 % 17).cast("string"), F.lit(".5C/70F"))
-        .alias("mean_annual_temperature_C"),
-        _tag("class", key % 4).alias("dominant_nlcd_classes"),
-        (1.0 + key * 3 % 29).alias("watershed_size_km2"),
-        F.when(lake, 0.5 + key / 4).alias("lake_depth_mean_m"),
-        F.when(lake, 1.0 + key * key / 10).alias("lake_depth_max_m"),
+    return table(spark, sf_dir, "nation").selectExpr(
+        "concat('N', n_nationkey) as site_id",
+        """case n_nationkey % 3 when 0 then 'Core Aquatic' when 1 then 'Gradient Aquatic'
+                else 'Core Terrestrial' end as site_type""",
+        "if(n_nationkey % 2 = 0, 'Lake', 'Wadeable Stream') as site_subtype",
+        "20d + n_nationkey * n_nationkey % 23 as latitude",
+        "-70d - n_nationkey * 7 % 19 as longitude",
+        """if(n_nationkey % 9 = 4, 'unknown', string(100 + n_nationkey * 10))
+           as mean_evelation_m""",
+        "string(n_nationkey * 25 % 311) as mean_annual_precipitation_mm",
+        "concat(n_nationkey * 5 % 17, '.5C/70F') as mean_annual_temperature_C",
+        "concat('class', n_nationkey % 4) as dominant_nlcd_classes",
+        "1d + n_nationkey * 3 % 29 as watershed_size_km2",
+        "if(n_nationkey % 2 = 0, 0.5d + n_nationkey / 4d, null) as lake_depth_mean_m",
+        """if(n_nationkey % 2 = 0, 1d + n_nationkey * n_nationkey / 10d, null)
+           as lake_depth_max_m""",
     )
 
 
 def grabs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Laboratory DOC at a collection time: purchase events."""
-    site = F.col("user_id") % 10
-    return table(spark, sf_dir, "events").where("event_type = 'purchase'").select(
-        F.col("ts").alias("collectDate"), _tag("N", site).alias("siteID"),
-        _tag("D", site % 5).alias("domainID"), F.lit("DOC").alias("analyte"),
-        (1 + F.col("value") / 10).alias("analyteConcentration"),
+    return table(spark, sf_dir, "events").where("event_type = 'purchase'").selectExpr(
+        "ts as collectDate", "concat('N', user_id % 10) as siteID",
+        "concat('D', user_id % 10 % 5) as domainID", "'DOC' as analyte",
+        "1d + value / 10 as analyteConcentration",
     )
 
 
 def sensor(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sensor readings: all other events; one in fifty lacks its value."""
-    return table(spark, sf_dir, "events").where("event_type <> 'purchase'").select(
-        F.col("ts").alias("startDateTime"),
-        _tag("N", F.col("user_id") % 10).alias("siteID"),
-        F.element_at(F.array(*map(F.lit, ("102", "112", "103", "101"))),
-                     (F.col("event_id") % 4 + 1).cast("int"))
-        .alias("horizontalPosition"),
-        F.when(F.col("event_id") % 50 != 0, F.col("value")).alias("rawCalibratedfDOM"),
+    return table(spark, sf_dir, "events").where("event_type <> 'purchase'").selectExpr(
+        "ts as startDateTime", "concat('N', user_id % 10) as siteID",
+        """case event_id % 4 when 0 then '102' when 1 then '112' when 2 then '103'
+                else '101' end as horizontalPosition""",
+        "if(event_id % 50 <> 0, value, null) as rawCalibratedfDOM",
     )
