@@ -134,7 +134,8 @@ def _read_csv_dir(spark, d):
     stacked = sources.read_csv_dir(
         spark, [f"{root}/{water}" for water in folders], schemas.SUVA_SPECTRUM
     )
-    return stacked.withColumn("collectDate", parse_timestamp("collectDate"))
+    moment = parse_timestamp("collectDate").cast("timestamp_ntz")
+    return stacked.withColumn("collectDate", moment)
 
 
 def _write_table(spark, d):
@@ -163,7 +164,9 @@ def _parsed_times(spark, d):
     text = F.date_format("collectDate", "yyyy-MM-dd HH:mm:ss")
     # one in three lacks its time of day and must not parse
     cut = F.when(F.second("collectDate") % 3 == 0, F.substring(text, 1, 10)).otherwise(text)
-    return grabs.select("collectDate", parse_timestamp(cut).alias("parsed"))
+    return grabs.select(
+        "collectDate", parse_timestamp(cut).cast("timestamp_ntz").alias("parsed")
+    )
 
 
 # --- spectra ----------------------------------------------------------------

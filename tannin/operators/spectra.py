@@ -63,18 +63,16 @@ def analyte_slice(chem: DataFrame, analyte: str) -> DataFrame:
 
 
 def analyte_means(chem: DataFrame, *analytes: str) -> DataFrame:
-    """One row per sample with the mean of each analyte's repeated analyses."""
-    value = known("analyteConcentration")
-
-    def mean(analyte: str) -> Column:
-        own = f"filter (where analyte = '{analyte}')"
-        return F.expr(
-            f"case when count({value}) {own} = count(1) {own} "
-            f"then avg({value}) {own} end"
-        ).alias(analyte)
+    """One row per sample with the mean of each analyte's known analyses.
 
+    Analyses without a value are left out first, as they are from a spectrum
+    with one copy per analysis.
+    """
+    value = known("analyteConcentration")
     wanted = chem.where(F.col("analyte").isin(*analytes))
-    return wanted.groupBy("sampleID").agg(*(mean(a) for a in analytes))
+    return wanted.groupBy("sampleID").agg(*(
+        F.expr(f"avg({value}) filter (where analyte = '{a}')").alias(a) for a in analytes
+    ))
 
 
 def suva(absorbance: str, doc: str) -> Column:

@@ -75,6 +75,15 @@ def test_two_doc_rows(spark):
     assert all(r.SR == pytest.approx(mean["SR"]) for r in cross)
 
 
+def test_analyses_without_value_are_left_out(spark):
+    readings = scan(spark, exponential("s") + exponential("t"))
+    lab = chem(spark, ("s", "DOC", 2.0), ("s", "DOC", None), ("s", "Fe", None),
+               ("s", "Fe", 0.1), ("t", "DOC", None))
+    for mode in ("mean", "cross"):
+        got = one(metrics.corrected_metrics(readings, lab, replicates=mode))
+        assert (got["sampleID"], got["DOC"], got["Fe"]) == ("s", 2.0, 0.1)
+
+
 def reference_rows(readings, doc, iron):
     """Corrected and raw metric rows by nested loops over plain lists."""
     mean = {}
@@ -291,3 +300,18 @@ def test_dates_may_differ_between_samples(spark):
     assert got["t"].siteID == "B" and got["t"].collectDate == DAY + timedelta(days=3)
 
 
+
+
+def test_shuffles_of_the_metrics(spark):
+    """Averages, spectrum by sample, analyses by sample; nothing after the join."""
+    readings = scan(spark, exponential("s"))
+    lab = chem(spark, ("s", "DOC", 1.0), ("s", "Fe", 0.1))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = plan(metrics.corrected_metrics(readings, lab))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    tree = text.split("\n\n")[0]
+    assert tree.count("Exchange") == 3
+    above_join = tree.split("SortMergeJoin")[0]
+    assert "Exchange" not in above_join

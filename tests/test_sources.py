@@ -191,3 +191,14 @@ def test_stream_equals_batch_for_closed_buckets(spark, tmp_path):
     watermark = max(r[0] for r in rows) - timedelta(minutes=10)
     closed = {k: v for k, v in whole.items() if k[0] + timedelta(seconds=150) <= watermark}
     assert closed and got == closed
+
+
+def test_pairing_shuffles_only_matching_readings(spark):
+    lab = spark.createDataFrame([grab(10, 1.0)], GRAB)
+    sensor = spark.createDataFrame([reading(0, 1.0), reading(9000, 2.0)], SENSOR)
+    tree = plan(doc_fdom.pair_doc_fdom(lab, sensor)).split("\n\n")[0]
+    semi = tree.index("LeftSemi")
+    assert "BroadcastHashJoin LeftOuter" in tree[:semi]
+    # below the semi join the readings are only filtered and projected
+    readings_side = tree[semi:].splitlines()[1:5]
+    assert not any(line.lstrip(" :").startswith("+- Exchange") for line in readings_side)
