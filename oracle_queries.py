@@ -556,8 +556,11 @@ def rounded(decimals: int) -> dict[str, str]:
     """Complete statements, every double rounded and without negative zero."""
     found = {}
     for name, (steps, final, doubles) in _QUERIES.items():
-        named = ",\n".join(f"{step} as materialized ({sql})" if "(" not in step else f"{step} as ({sql})"
-                           for step, sql in steps.items())
+        named = ",\n".join(
+            # a recursive step, with its column list, cannot be materialized
+            f"{step} as {'' if '(' in step else 'materialized '}({sql})"
+            for step, sql in steps.items()
+        )
         replaced = ", ".join(
             f'round("{c}", {decimals}) + 0e0 as "{c}"' for c in doubles.split()
         )
