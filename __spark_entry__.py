@@ -25,6 +25,12 @@ from tannin.sources import tables as sources  # noqa: E402
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+try:  # the subpackage is optional
+    import corpus_pipeline
+    from tannin.llm import queries as llm_queries
+except ImportError:
+    llm_queries = corpus_pipeline = None
+
 DECIMALS = 6
 SMOKE_DIR = "/root/testdata/sf0.001"
 
@@ -295,8 +301,16 @@ def entry(spark: SparkSession) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {name: _with_rounding(query) for name, query in QUERIES.items()}
+    found = {name: _with_rounding(query) for name, query in QUERIES.items()}
+    if llm_queries:
+        found |= llm_queries.QUERIES | {"pipeline": corpus_pipeline.run}
+    return found
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracle_queries.rounded(DECIMALS)
+    found = oracle_queries.rounded(DECIMALS)
+    if llm_queries:
+        found |= llm_queries.ORACLE_SQL
+        if corpus_pipeline.ORACLE_SQL:
+            found["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return found
