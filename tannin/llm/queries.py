@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tannin.llm import token_counts
+from tannin.llm import bpe, token_counts
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -21,8 +22,18 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
         table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path(TOKENIZER)
+    decoded = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path), path)
+    ids = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return decoded.select(
+        "doc_id", "n_tokens", F.sha2(ids, 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_counts": op9_token_counts,
+    "op10_bpe": op10_bpe,
 }
 
 ORACLE_SQL: dict[str, str] = {}
