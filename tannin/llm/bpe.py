@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from tannin.llm.words import byte_slices, documents_of, segment_sums, split_words
 
@@ -270,7 +271,7 @@ def decode(encoded: DataFrame, tokenizer: str) -> DataFrame:
 
     Null lists give an empty text; an id outside the vocabulary raises.
     """
-    schema = encoded.schema.add("decoded", "string")
+    schema = T.StructType([*encoded.schema, T.StructField("decoded", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _bpe(tokenizer)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tannin.llm import bpe, token_counts
+from tannin.llm import bpe, token_counts, token_store
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -17,6 +17,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = token_store.write_store(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+    read = token_store.read_store(files)
+    return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(
         table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
@@ -32,6 +38,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op8_token_store": op8_token_store,
     "op9_token_counts": op9_token_counts,
     "op10_bpe": op10_bpe,
 }
