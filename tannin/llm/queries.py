@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tannin.llm import bpe, token_counts, token_store
+from tannin.llm import bpe, mixing, token_counts, token_store
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -17,6 +17,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"), columns=["doc_id"])
+    return mixed.select("_row.doc_id", "mix.size", "mix.source_size", "mix.target", "mix.taken")
+
+
 def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = token_store.write_store(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
     read = token_store.read_store(files)
@@ -38,6 +43,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op6_mixing": op6_mixing,
     "op8_token_store": op8_token_store,
     "op9_token_counts": op9_token_counts,
     "op10_bpe": op10_bpe,
