@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tannin.llm import bpe, mixing, token_counts, token_store
+from tannin.llm import bpe, mixing, token_counts, token_store, url_filter
+
+from tannin.llm.words import LOWER, UPPER
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -17,6 +19,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+URL_RULES = [
+    ("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"),
+    ("com", "/fr/", "allow"), ("com", "/de/", "block"),
+]
+
+
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return url_filter.judge_urls(table(spark, sf_dir, "pages"), url_filter.write_list(rules))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"), columns=["doc_id"])
     return mixed.select("_row.doc_id", "mix.size", "mix.source_size", "mix.target", "mix.taken")
@@ -43,10 +56,27 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_url_filter": op1_url_filter,
     "op6_mixing": op6_mixing,
     "op8_token_store": op8_token_store,
     "op9_token_counts": op9_token_counts,
     "op10_bpe": op10_bpe,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_FITS = "\n".join(
+    f"when (host = '{h}' or ends_with(host, '.{h}')) and starts_with(path, '{p}') then '{h}{p}'"
+    for h, p, _ in sorted(URL_RULES, key=lambda r: -len(r[0] + r[1])))
+_BLOCKED = ", ".join(f"'{h}{p}'" for h, p, v in URL_RULES if v == "block")
+
+ORACLE_SQL: dict[str, str] = {
+    "op1_url_filter": f"""
+        with rest as (
+            select page_id, case when strpos(url, '://') > 0
+                then substr(url, strpos(url, '://') + 3) else '' end as rest from pages),
+        parts as (select page_id, rest, regexp_extract(rest, '^[^/?#]*') as host from rest),
+        cut as (
+            select page_id, translate(host, '{UPPER}', '{LOWER}') as host,
+                regexp_extract(substr(rest, length(host) + 1), '^[^?#]*') as path from parts),
+        ruled as (select *, case {_FITS} end as rule from cut)
+        select *, case when rule in ({_BLOCKED}) then 'block' else 'allow' end as verdict from ruled""",
+}
