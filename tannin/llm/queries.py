@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tannin.llm import bpe, mixing, token_counts, token_store, url_filter
+from tannin.llm import bpe, mixing, simhash, token_counts, token_store, url_filter
 
 from tannin.llm.words import LOWER, UPPER
 
@@ -35,6 +35,11 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("_row.doc_id", "mix.size", "mix.source_size", "mix.target", "mix.taken")
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents")).select(
+        "doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = token_store.write_store(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
     read = token_store.read_store(files)
@@ -58,6 +63,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op6_mixing": op6_mixing,
+    "op7_simhash": op7_simhash,
     "op8_token_store": op8_token_store,
     "op9_token_counts": op9_token_counts,
     "op10_bpe": op10_bpe,
