@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tannin.llm import bpe, mixing, simhash, token_counts, token_store, url_filter
+from tannin.llm import bpe, mixing, quality, simhash, token_counts, token_store, url_filter
 
 from tannin.llm.words import LOWER, UPPER
 
@@ -30,6 +30,11 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), url_filter.write_list(rules))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.judge(table(spark, sf_dir, "documents"), ["doc_id", "lang"])
+    return judged.select("_row.doc_id", *quality.COUNTS, "base_failed", "kept", "log_perplexity")
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"), columns=["doc_id"])
     return mixed.select("_row.doc_id", "mix.size", "mix.source_size", "mix.target", "mix.taken")
@@ -62,6 +67,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
+    "op5_quality": op5_quality,
     "op6_mixing": op6_mixing,
     "op7_simhash": op7_simhash,
     "op8_token_store": op8_token_store,
