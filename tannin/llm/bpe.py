@@ -25,9 +25,9 @@ from pyspark.sql import types as T
 from tannin.llm.words import byte_slices, documents_of, segment_sums, split_words
 
 #: Text whose distinct words are merged together; bounds a worker's memory.
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 12 << 20
 #: Text whose ids leave a worker in one Arrow batch.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 
 
 def byte_letters() -> list[str]:
@@ -53,7 +53,7 @@ class Merges:
         """The rank of each pair, -1 for pairs that never merge."""
         if not len(self.keys):
             return np.full(len(left), -1)
-        wanted = left * self.size + right
+        wanted = left.astype(np.int64) * self.size + right
         at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
         return np.where(self.keys[at] == wanted, self.ranks[at], -1)
 
@@ -62,8 +62,8 @@ class Merges:
 
         Returns the ids that are left and the number of ids of each word.
         """
-        symbols, n = symbols.astype(np.int64), len(symbols)
-        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        symbols, n = symbols.astype(np.int32), len(symbols)
+        after, before = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
         edges = starts[np.diff(starts, append=n + 1) > 0]  # starts of words, and n
         after[edges[edges > 0] - 1] = -1
         before[edges[edges < n]] = -1
@@ -86,7 +86,7 @@ class Merges:
                     heapq.heappush(active, rank)
                 lists[rank].append(group)
 
-        index(np.arange(n))
+        index(np.arange(n, dtype=np.int32))
         while active:
             rank = heapq.heappop(active)
             held = lists.pop(rank)
@@ -235,11 +235,12 @@ def _blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.concat_batches(held)
 
 
-def encode(docs: DataFrame, tokenizer: str) -> DataFrame:
+def encode(docs: DataFrame, tokenizer: str, decoded: bool = False) -> DataFrame:
     """Token ids of every whole text, nothing added.
 
     Result: doc_id, n_tokens, ids (array of int), a row per row of ``docs``; other
-    columns are not read.  Null and empty texts have an empty list.
+    columns are not read.  Null and empty texts have an empty list.  With ``decoded`` the
+    same worker decodes the ids again, into a column of that name.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _bpe(tokenizer)
@@ -256,14 +257,16 @@ def encode(docs: DataFrame, tokenizer: str) -> DataFrame:
                 flat = ids[np.arange(total) + np.repeat(begin[index[lo:hi]] - ends + lengths, lengths)]
                 sizes = segment_sums(lengths, words.offsets[start:stop + 1] - lo)
                 offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([
-                    block.column("doc_id").slice(start, stop - start), pa.array(sizes, pa.int64()),
-                    pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.astype(np.int32))),
-                ], ["doc_id", "n_tokens", "ids"])
+                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.astype(np.int32)))
+                found = {"doc_id": block.column("doc_id").slice(start, stop - start),
+                         "n_tokens": pa.array(sizes, pa.int64()), "ids": lists}
+                if decoded:
+                    found["decoded"] = bpe.decode(lists)
+                yield pa.RecordBatch.from_pydict(found)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return documents_of(docs, "doc_id", "text").mapInArrow(
-        run, f"doc_id {kind}, n_tokens long, ids array<int>")
+        run, f"doc_id {kind}, n_tokens long, ids array<int>" + ", decoded string" * decoded)
 
 
 def decode(encoded: DataFrame, tokenizer: str) -> DataFrame:

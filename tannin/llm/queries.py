@@ -57,8 +57,8 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = public_tokenizers.path(TOKENIZER)
-    decoded = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path), path)
+    documents = table(spark, sf_dir, "documents")
+    decoded = bpe.encode(documents, public_tokenizers.path(TOKENIZER), decoded=True)
     ids = F.array_join(F.col("ids").cast("array<string>"), " ")
     return decoded.select(
         "doc_id", "n_tokens", F.sha2(ids, 256).alias("ids_sha256"),
