@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tannin.llm import bpe, mixing, quality, simhash, token_counts, token_store, url_filter
+from tannin.llm import bpe, mixing, quality, simhash, token_counts, token_store, toxicity, url_filter
 
 from tannin.llm.words import LOWER, UPPER
 
@@ -30,6 +30,16 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), url_filter.write_list(rules))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    tagger = toxicity.fit(documents, table(spark, sf_dir, "labels"))
+    tagged = toxicity.tag(documents, tagger, ["doc_id"])
+    return tagged.select(
+        "_row.doc_id", toxicity.in_fold(F.col("_row.doc_id"), 3).alias("held_out"), "score",
+        (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"),
+        F.size("spans").alias("n_spans"), "spans")
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(table(spark, sf_dir, "documents"), ["doc_id", "lang"])
     return judged.select("_row.doc_id", *quality.COUNTS, "base_failed", "kept", "log_perplexity")
@@ -67,6 +77,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
+    "op4_toxicity": op4_toxicity,
     "op5_quality": op5_quality,
     "op6_mixing": op6_mixing,
     "op7_simhash": op7_simhash,
