@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tannin.llm import bpe, mixing, nearest, quality, simhash, token_counts, token_store, toxicity, url_filter
+from tannin.llm import bpe, mixing, nearest, pitman_yor, quality, simhash, token_counts, token_store, toxicity, url_filter
 
 from tannin.llm.words import LOWER, UPPER
 
@@ -30,6 +30,10 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), url_filter.write_list(rules))
 
 
+def op2_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pitman_yor.score_texts(table(spark, sf_dir, "documents"))
+
+
 def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return nearest.search(vectors, vectors.filter(F.col("vec_id") % 20 == 0))
@@ -82,6 +86,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
+    "op2_pitman_yor": op2_pitman_yor,
     "op3_nearest": op3_nearest,
     "op4_toxicity": op4_toxicity,
     "op5_quality": op5_quality,
