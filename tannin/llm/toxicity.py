@@ -11,7 +11,7 @@ of its words' marginals.
 from __future__ import annotations
 
 import re
-from collections import Counter
+from array import array
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from tannin.llm.words import WORD, byte_slices, segment_sums, split_words, text_column
 
 #: Labelled documents that a model is fitted on, at most.
-MAX_DOCS = 6000
+MAX_DOCS = 3000
 #: Words in sentences that the weights are fitted on, at most, about.
 MAX_WORDS = 200_000
 THRESHOLD = 0.7
@@ -159,24 +159,20 @@ def _summary(p: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.stack([np.ones(len(sizes)), np.log(largest / (1 - largest)), np.log1p(expected)], axis=1)
 
 
-def signs(counts: Counter, toxic: Counter, n_docs: int, n_toxic: int) -> set[str]:
-    """Features whose documents are toxic far more often than by chance.
+def signs(docs_with: np.ndarray, toxic_with: np.ndarray, n_docs: int, n_toxic: int) -> np.ndarray:
+    """Whether each feature's documents are toxic far more often than by chance.
 
-    At least half are, and the divergence from the share of toxic documents holds
-    against as many trials as there are features.
+    At least half are, and the divergence from the share of toxic documents holds against
+    as many trials as there are features.
     """
     if not 0 < n_toxic < n_docs:
-        return set()
-    share, needed = n_toxic / n_docs, np.log(max(1, len(counts))) + 5
-    found = set()
-    for feature, k in toxic.items():
-        m = counts[feature]
-        rate = k / m
-        if rate >= 0.5 and rate > share:
-            rest = (1 - rate) * np.log((1 - rate) / (1 - share)) if rate < 1 else 0.0
-            if m * (rate * np.log(rate / share) + rest) > needed:
-                found.add(feature)
-    return found
+        return np.zeros(len(docs_with), bool)
+    share, needed = n_toxic / n_docs, np.log(max(1, len(docs_with))) + 5
+    rate = toxic_with / np.maximum(docs_with, 1)
+    other = 1 - rate
+    divergence = np.where(rate > 0, rate * np.log(np.maximum(rate, 1e-12) / share), 0) + np.where(
+        other > 0, other * np.log(np.maximum(other, 1e-12) / (1 - share)), 0)
+    return (rate >= 0.5) & (rate > share) & (docs_with * divergence > needed)
 
 
 def _descend(gradient, parameters: np.ndarray, rounds: int, rate: float) -> np.ndarray:
@@ -194,43 +190,52 @@ def fit_tagger(texts: Sequence[str], labels: Sequence[int]) -> Tagger:
     labels = np.array(labels, dtype=np.int64)
     words = split_words(pa.array(list(texts), pa.large_string()))
     distinct, index = words.distinct()
-    forms = [features(w) for w in distinct.to_pylist()]
     sizes = np.diff(words.offsets)
     doc = np.repeat(np.arange(len(labels)), sizes)
 
-    counts, toxic = Counter(), Counter()
+    # features of each distinct word as numbers, one word after another
+    names: dict[str, int] = {}
+    flat, counts = array("i"), []
+    for word in distinct.to_pylist():
+        found = features(word)
+        counts.append(len(found))
+        flat.extend(names.setdefault(f, len(names)) for f in found)
+    flat, ends = np.frombuffer(flat, np.int32) if flat else np.zeros(0, np.int32), np.cumsum([0, *counts])
+
+    def features_of(kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The features of words, and for each of them the place of its word in ``kinds``."""
+        size = ends[kinds + 1] - ends[kinds]
+        upto = np.cumsum(size)
+        at = np.arange(upto[-1] if len(upto) else 0) + np.repeat(ends[kinds] - upto + size, size)
+        return flat[at], np.repeat(np.arange(len(kinds)), size)
+
+    docs_with, toxic_with = np.zeros(len(names), np.int64), np.zeros(len(names), np.int64)
     for i, label in enumerate(labels):
-        held = set()
-        for k in np.unique(index[words.offsets[i]:words.offsets[i + 1]]):
-            held.update(forms[k])
-        counts.update(held)
-        if label:
-            toxic.update(held)
-    cues = signs(counts, toxic, len(labels), int(labels.sum()))
-    has_cue = np.array([any(f in cues for f in each) for each in forms], bool)
+        held = np.unique(features_of(np.unique(index[words.offsets[i]:words.offsets[i + 1]]))[0])
+        docs_with[held] += 1
+        toxic_with[held] += label
+    cues = signs(docs_with, toxic_with, len(labels), int(labels.sum()))
+    has_cue = np.zeros(len(distinct), bool)
+    every, word_of = features_of(np.arange(len(distinct)))
+    has_cue[word_of[cues[every]]] = True
     sign = has_cue[index] if len(index) else np.zeros(0, bool)
     y = sign & (labels[doc] == 1)
 
     # sentences with and without signs, each evenly spread, up to half of MAX_WORDS
-    ends = sentences(words.words, words.offsets)
-    size, positive = np.diff(ends), segment_sums(sign, ends) > 0
+    closes = sentences(words.words, words.offsets)
+    size, positive = np.diff(closes), segment_sums(sign, closes) > 0
     order = np.argsort(np.arange(len(size)) * 2654435761 % 4294967291)
     picked = [part[np.cumsum(size[part]) <= MAX_WORDS // 2]
               for part in (order[positive[order]], order[~positive[order]])]
     chosen = np.sort(np.concatenate(picked))
     length = size[chosen]
     offsets = np.concatenate([[0], np.cumsum(length)]).astype(np.int64)
-    of = np.arange(offsets[-1]) + np.repeat(ends[chosen] - offsets[:-1], length)
+    of = np.arange(offsets[-1]) + np.repeat(closes[chosen] - offsets[:-1], length)
     kinds, kind = np.unique(index[of], return_inverse=True) if len(of) else (np.zeros(0, int), np.zeros(0, int))
     tags = y[of].astype(np.float64)
 
-    names: dict[str, int] = {}
-    rows, columns = [], []
-    for i, k in enumerate(kinds):
-        for f in forms[k]:
-            rows.append(i)
-            columns.append(names.setdefault(f, len(names)))
-    rows, columns = np.array(rows, np.int64), np.array(columns, np.int64)
+    own, rows = features_of(kinds)
+    used, columns = np.unique(own, return_inverse=True)
     opening = np.zeros(len(of), bool)
     opening[offsets[:-1]] = True
     before = np.concatenate([[0.0], tags[:-1]]) if len(tags) else tags
@@ -242,21 +247,26 @@ def fit_tagger(texts: Sequence[str], labels: Sequence[int]) -> Tagger:
         scores = np.bincount(rows, weights[columns], len(kinds))
         p, pairs = marginals(scores[kind], offsets, start, moves)
         by_kind = np.bincount(kind, p - tags, len(kinds))
-        own = np.bincount(columns, by_kind[rows], len(weights))
+        own_g = np.bincount(columns, by_kind[rows], len(weights))
         opened = p[opening].sum()
         start_g = np.array([opening.sum() - opened, opened]) - seen_start
         moves_g = pairs.sum(axis=1) - seen_moves.ravel()
         scale = max(1, len(tags))
-        return np.concatenate([own, start_g, moves_g]) / scale + PENALTY * parameters / scale
+        return np.concatenate([own_g, start_g, moves_g]) / scale + PENALTY * parameters / scale
 
-    start_at = np.zeros(len(names) + 6)
+    start_at = np.zeros(len(used) + 6)
     fitted = _descend(gradient, start_at, ROUNDS, RATE) if len(of) else start_at
-    weights = {f: float(fitted[i]) for f, i in names.items() if abs(fitted[i]) > 1e-6}
+    weight_of = dict(zip(used.tolist(), fitted[:-6].tolist()))
+    weights = {f: weight_of[i] for f, i in names.items() if abs(weight_of.get(i, 0.0)) > 1e-6}
     tagger = Tagger(weights, fitted[-6:-4], fitted[-4:].reshape(2, 2), np.zeros(3))
 
     # the document score, on the same documents
-    _, p = tagger.tag(pa.array(list(texts), pa.large_string()))
-    summary = _summary(p, words.offsets)
+    given = pa.array(list(texts), pa.large_string())
+    parts = [np.zeros((0, 3))]
+    for a, b in byte_slices(given, BATCH_BYTES):
+        tagged, p = tagger.tag(given[a:b])
+        parts.append(_summary(p, tagged.offsets))
+    summary = np.concatenate(parts)
 
     def slope(w: np.ndarray) -> np.ndarray:
         return summary.T @ (1 / (1 + np.exp(-summary @ w)) - labels) / max(1, len(labels)) + 1e-5 * w
