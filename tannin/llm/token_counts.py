@@ -25,10 +25,11 @@ LONG_TEXT = 1 << 16
 _BOUNDARY = re.compile(r"(?<=[^\s])(?= [A-Za-z])")
 
 
-def split_long(text: str, limit: int = LONG_TEXT) -> list[str]:
+def split_long(text: str, limit: int = LONG_TEXT, drop: bool = False) -> list[str]:
     """Cut a text before single spaces into pieces of about ``limit`` characters.
 
-    A stretch without such a place stays whole.
+    A stretch without such a place stays whole.  With ``drop`` the space at a cut goes, for
+    tokenizers that put one before each text.
     """
     pieces, start = [], 0
     while len(text) - start > limit:
@@ -36,7 +37,7 @@ def split_long(text: str, limit: int = LONG_TEXT) -> list[str]:
         if not found:
             break
         pieces.append(text[start:found.start()])
-        start = found.start()
+        start = found.start() + drop
     return [*pieces, text[start:]]
 
 
@@ -61,11 +62,11 @@ class _ByWord:
 class _ByText:
     """Other tokenizers: whole texts, long ones in pieces."""
 
-    def __init__(self, encode_lengths):
-        self.encode_lengths = encode_lengths
+    def __init__(self, encode_lengths, drop: bool = False):
+        self.encode_lengths, self.drop = encode_lengths, drop
 
     def __call__(self, texts: pa.Array) -> np.ndarray:
-        pieces = [split_long(t or "") for t in texts.to_pylist()]
+        pieces = [split_long(t or "", drop=self.drop) for t in texts.to_pylist()]
         flat = [p for each in pieces for p in each]
         offsets = np.cumsum([0, *map(len, pieces)])
         return segment_sums(np.array(self.encode_lengths(flat), np.int64), offsets)
@@ -80,9 +81,8 @@ def _counter(path: str):
             import sentencepiece
 
             processor = sentencepiece.SentencePieceProcessor(model_file=path)
-            # a piece after a cut starts with its space, which stands for the word mark
             _COUNTERS[path] = _ByText(lambda texts: [
-                len(ids) for ids in processor.encode(texts, num_threads=1)])
+                len(ids) for ids in processor.encode(texts, num_threads=1)], drop=True)
         else:
             coder = word_ids(path)
             _COUNTERS[path] = _ByWord(path) if _drops_white_space(coder.tokenizer) else _ByText(
