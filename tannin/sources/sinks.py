@@ -83,6 +83,17 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def store(df: DataFrame, label: str) -> DataFrame:
+    """Like ``materialize``, as a Parquet table, whose size in bytes Spark knows.
+
+    For tables that others are joined with: Spark broadcasts one under
+    ``spark.sql.autoBroadcastJoinThreshold`` without shuffling the other side first.
+    """
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def is_small(stored: DataFrame, rows: int) -> bool:
     """Whether a stored table has at most ``rows`` rows."""
     return stored.limit(rows + 1).count() <= rows
