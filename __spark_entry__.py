@@ -86,8 +86,9 @@ def _pairs(spark, d):
 # --- sources and sinks ------------------------------------------------------
 
 def _read_product(spark, d):
-    """Write both product tables, read them back restricted."""
+    """Write both product tables, read them back restricted; some rows are provisional."""
     scan, chem = _inputs(spark, d)
+    scan = scan.withColumn("release", F.expr("if(wavelength % 5 = 0, 'PROVISIONAL', 'RELEASE')"))
     root = sinks.scratch_path(spark, "product")
     for name, df in (("swc_externalLabAbsorbanceScan", scan),
                      ("swc_externalLabDataByAnalyte", chem)):

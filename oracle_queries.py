@@ -364,7 +364,7 @@ _QUERIES: dict[str, tuple[dict[str, str], str, str]] = {
     "read_product": (_S, """
         select "sampleID", "siteID", count(*) as readings,
                cast(max(wavelength) as double) as top
-        from scan where "siteID" in ('N1', 'N4')
+        from scan where "siteID" in ('N1', 'N4') and wavelength % 5 <> 0
           and "collectDate" >= timestamp '2023-10-01'
           and "collectDate" < timestamp '2023-12-01'
         group by "sampleID", "siteID" """, "top"),

@@ -18,40 +18,54 @@ from pyspark.sql import types as T
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
-def _beta_fraction(a: float, b: float, x: float) -> float:
-    """Continued fraction of the incomplete beta function, evaluated forward."""
-    tiny = 1e-300
-    c, d = 1.0, 1.0 - (a + b) * x / (a + 1.0)
-    d = 1.0 / (d if abs(d) > tiny else tiny)
-    result = d
-    for m in range(1, 10_000):
-        even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
-        odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
-        change = 1.0
-        for term in (even, odd):
-            d = 1.0 + term * d
-            d = 1.0 / (d if abs(d) > tiny else tiny)
-            c = 1.0 + term / c
-            c = c if abs(c) > tiny else tiny
-            change = c * d
-            result *= change
-        if abs(change - 1.0) < 1e-15:
-            break
-    return result
+#: Terms of the continued fraction, far beyond the most that any argument needs.
+MOST_TERMS = 100_000
+
 
+def _beta_fraction(a: float, b: float, x: float, y: float) -> float:
+    """Continued fraction of the incomplete beta function (Didonato and Morris, 1992).
 
-def _incomplete_beta(a: float, b: float, x: float) -> float:
+    ``y`` is 1 - x, given beside it: computed from x it would lose its digits near x = 1.
+    """
+    tiny = 1e-300
+    value = previous = ratio = 0.0
+    for m in range(MOST_TERMS):
+        place = a + 2 * m
+        part = m + (a + m) * (a * y - b * x + 1.0 + m * (1.0 + y)) / (place + 1.0)
+        if m == 0:
+            value = previous = part or tiny
+            continue
+        inner = m * (b - m) * x / (place - 1.0)
+        part += inner
+        top = (a + m - 1.0) * (a + b + m - 1.0) * x / (place - 1.0) * inner
+        ratio = part + top * ratio
+        ratio = 1.0 / (ratio or tiny)
+        previous = part + top / previous
+        previous = previous or tiny
+        value *= previous * ratio
+        if abs(previous * ratio - 1.0) < 1e-15:
+            return 1.0 / value
+    raise ArithmeticError(f"no convergence for a = {a}, b = {b}, x = {x}")
+
+
+def _log_half_step(a: float) -> float:
+    """log(gamma(a + 1/2) / gamma(a)); for large a by its series, which does not cancel."""
+    if a < 50.0:
+        return math.lgamma(a + 0.5) - math.lgamma(a)
+    return 0.5 * math.log(a) - 1 / (8 * a) + 1 / (192 * a**3) - 1 / (640 * a**5)
+
+
+def _tail(a: float, x: float, y: float) -> float:
+    """Incomplete beta function of a and 1/2 at x = 1 - y."""
     if x <= 0.0:
         return 0.0
-    if x >= 1.0:
+    if y <= 0.0:
         return 1.0
-    front = math.exp(
-        math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b)
-        + a * math.log(x) + b * math.log1p(-x)
-    )
-    if x < (a + 1.0) / (a + b + 2.0):
-        return front * _beta_fraction(a, b, x) / a
-    return 1.0 - front * _beta_fraction(b, a, 1.0 - x) / b
+    log_x = math.log(x) if x < 0.5 else math.log1p(-y)
+    front = math.exp(_log_half_step(a) + a * log_x) * math.sqrt(y / math.pi)
+    if y > 1.5 / (a + 2.5):
+        return front * _beta_fraction(a, 0.5, x, y)
+    return 1.0 - front * _beta_fraction(0.5, a, y, x)
 
 
 def two_sided_tail(t: float, df: float) -> float:
@@ -60,7 +74,10 @@ def two_sided_tail(t: float, df: float) -> float:
         return math.nan
     if math.isinf(t):
         return 0.0
-    return _incomplete_beta(df / 2.0, 0.5, df / (df + t * t))
+    square = t * t
+    if math.isinf(square):
+        return 0.0
+    return _tail(df / 2.0, df / (df + square), square / (df + square))
 
 
 def critical_value(df: float, level: float) -> float:

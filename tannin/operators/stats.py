@@ -90,7 +90,9 @@ def exact_quantiles(
     ranked = counted.withColumn("upto", upto)
 
     def at_rank(rank: str) -> Column:
-        return F.min(F.when(F.col("upto") > F.col(rank), F.col("_x")))
+        # the first value beyond the rank; NULL if that is below the bracket
+        beyond = F.when(F.col("upto") > F.col(rank), F.col("upto"))
+        return F.min_by("_x", beyond)
 
     located = ranked.groupBy(*by, "n", "w").agg(
         at_rank("w.lower").alias("a"), at_rank("w.upper").alias("b"),

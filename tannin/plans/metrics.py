@@ -218,7 +218,10 @@ def corrected_metrics(
         spectrum.groupBy("sampleID").agg(*_raw_profile(), *_iron_profile())
     ))
     if not with_raw:
-        profile = profile.where("rowsFe > 0")
+        # the single metrics without a corrected counterpart make no row
+        profile = profile.where(
+            f"rowsFe > 0 and (coalesce(abs254, abs350) is not null or ({BOTH_BANDS}))"
+        )
         if doc is not None:
             profile = _cross_corrected(profile, doc, iron)
         return profile.select("sampleID", *CORRECTED)

@@ -45,10 +45,13 @@ def write_clustered(
     """Store a table bucketed and sorted by ``keys``.
 
     Scans and analyte tables stored this way by ``sampleID`` are averaged,
-    joined and summarised per sample without any shuffle.
+    joined and summarised per sample without any shuffle.  All rows of one key
+    lie in one bucket: leave tables with a hot key unbucketed, then averages
+    are combined per task before they are shuffled.
     """
     keys = list(keys)
-    df.write.format("parquet").mode(mode).bucketBy(buckets, *keys).sortBy(*keys) \
+    # one task per bucket, so one file per bucket
+    df.repartition(buckets, *keys).write.format("parquet").mode(mode).bucketBy(buckets, *keys).sortBy(*keys) \
         .saveAsTable(table)
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
-from collections.abc import Iterable, Mapping
+from collections.abc import Collection, Iterable, Mapping
 from datetime import datetime
 from functools import reduce
 
@@ -18,22 +18,36 @@ ALL_SITES = "all"
 PROVISIONAL = "PROVISIONAL"
 
 
-def _typed(df: DataFrame, schema: T.StructType) -> DataFrame:
-    """Pick the schema's columns by name; absent ones are NULL.
+def _typed(
+    df: DataFrame, schema: T.StructType, optional: Collection[str] = ()
+) -> DataFrame:
+    """Pick the schema's columns by name.
 
-    A time column without zone stays as it is: a cast would only keep filters
-    from reaching the scan.
+    Absent ones are NULL if they are ``optional`` and raise ValueError if not;
+    a value that is not of the column's type raises when it is read.  A time
+    column without zone stays as it is: a cast would only keep filters from
+    reaching the scan.
     """
     present = {f.name: f.dataType for f in df.schema.fields}
+    absent = [n for n in schema.names if n not in present and n not in optional]
+    if absent:
+        raise ValueError(f"columns {absent} are not in the header, which has {df.columns}")
 
     def pick(field: T.StructField) -> Column:
-        if field.name not in present:
-            return F.lit(None).cast(field.dataType).alias(field.name)
-        column = F.col(f"`{field.name}`")
-        kept = isinstance(present[field.name], T.TimestampNTZType) and isinstance(
-            field.dataType, T.TimestampType
+        name, kind = field.name, field.dataType
+        if name not in present:
+            return F.lit(None).cast(kind).alias(name)
+        column = F.col(f"`{name}`")
+        kept = isinstance(present[name], T.TimestampNTZType) and isinstance(
+            kind, T.TimestampType
         )
-        return (column if kept else column.try_cast(field.dataType)).alias(field.name)
+        if kept or present[name] == kind:
+            return column.alias(name)
+        cast = column.try_cast(kind)
+        wrong = F.raise_error(F.concat(
+            F.lit(f"{name} is not {kind.simpleString()}: "), column.cast("string")
+        )).cast(kind)
+        return F.when(column.isNull() | cast.isNotNull(), cast).otherwise(wrong).alias(name)
 
     return df.select(*(pick(f) for f in schema.fields))
 
@@ -93,7 +107,9 @@ def read_product(
     """The named tables under ``root``, one folder or file each.
 
     Site and month restrictions are plain predicates: with a layout that is
-    partitioned by site or date they prune folders.
+    partitioned by site or date they prune folders.  Of the columns only
+    ``release`` may be absent, and leaving out provisional rows needs it;
+    rows without a release stay.
     """
     found = {}
     for name in tables:
@@ -103,7 +119,9 @@ def read_product(
             df = _read_csv(spark, path)
         else:
             df = spark.read.format(fmt).load(path)
-        df = _typed(df, schema)
+        if not include_provisional and "release" not in df.columns:
+            raise ValueError(f"{name} has no column release to tell provisional rows by")
+        df = _typed(df, schema, optional=("release",))
         df = site_filter(df, sites)
         df = month_range_filter(df, start, end, date_column)
         if not include_provisional:
@@ -136,17 +154,25 @@ def register_tables(tables: Mapping[str, DataFrame]) -> None:
 
 
 def read_sites(spark: SparkSession, path: str) -> DataFrame:
-    """Site metadata from a CSV file with a header."""
-    return _typed(_read_csv(spark, path), schemas.SITES)
+    """Site metadata from a CSV file with a header; only ``site_id`` must be there."""
+    optional = [n for n in schemas.SITES.names if n != "site_id"]
+    return _typed(_read_csv(spark, path), schemas.SITES, optional)
 
 
 def read_csv_dir(
     spark: SparkSession,
     paths: str | Iterable[str],
     schema: T.StructType,
+    pattern: str = "*",
+    optional: Collection[str] = (),
 ) -> DataFrame:
     """Stack CSV files by column name; row-name columns are left out.
 
+    All files of a folder are read, whatever their names, but for those that
+    Spark takes for hidden (a leading dot or underscore); ``pattern`` may ask
+    for fewer.  Every column of the schema but the ``optional`` ones must be in
+    every header.
+
     Spark matches CSV columns by position, so inputs whose headers differ in
     order must not share a scan.  ``paths`` is a folder, or a list of files
     and folders.  The files of one folder given as such are looked at one by
@@ -154,20 +180,20 @@ def read_csv_dir(
     by one job cost a single look.  Entries with equal headers share one scan,
     in which a file with another header raises an error.
     """
-    entries = _files_in(spark, paths) if isinstance(paths, str) else list(paths)
+    entries = _files_in(spark, paths, pattern) if isinstance(paths, str) else list(paths)
     by_header: dict[tuple[str, ...], list[str]] = defaultdict(list)
     for entry in entries:
         by_header[tuple(_read_csv(spark, entry).columns)].append(entry)
     if not by_header:
         raise ValueError(f"no CSV file in {paths!r}")
-    parts = [_typed(_read_csv(spark, group), schema) for group in by_header.values()]
+    parts = [_typed(_read_csv(spark, group), schema, optional) for group in by_header.values()]
     return reduce(DataFrame.unionByName, parts)
 
 
-def _files_in(spark: SparkSession, folder: str) -> list[str]:
+def _files_in(spark: SparkSession, folder: str, pattern: str) -> list[str]:
     # only the path column is asked for, so no file content is read
     listing = (
         spark.read.format("binaryFile").option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "*.csv").load(folder).select("path")
+        .option("pathGlobFilter", pattern).load(folder).select("path")
     )
     return sorted(row.path for row in listing.toLocalIterator())

@@ -124,8 +124,14 @@ def test_t_closed_forms():
     assert student_t.two_sided_tail(INF, 3) == 0.0
 
 
+@pytest.mark.parametrize("df", [10**10, 10**11, 10**12])
+def test_t_nears_the_normal(df):
+    for t in (0.1, 1.0, 1.7, 2.0, 3.0, 5.0):
+        assert student_t.two_sided_tail(t, df) == pytest.approx(math.erfc(t / math.sqrt(2)), abs=1e-10)
+
+
 @settings(max_examples=60, deadline=None)
-@given(st.integers(1, 10**6), st.floats(0.01, 0.999))
+@given(st.integers(1, 10**12), st.floats(0.01, 0.999))
 def test_critical_value_inverts_tail(df, level):
     t = student_t.critical_value(df, level)
     assert student_t.two_sided_tail(t, df) == pytest.approx(1 - level, abs=1e-9)

@@ -216,6 +216,14 @@ def test_iron_edge_cases(spark):
     assert {r.sampleID for r in alone.collect()} == {"zero", "neg"}
 
 
+def test_corrected_alone_has_no_empty_rows(spark):
+    readings = [("only250", 250.0, 0.2), ("only364", 364.0, 0.2), ("at254", 254.0, 0.2), ("at350", 350.0, 0.2)]
+    lab = chem(spark, *((s, a, 2.0) for s, _, _ in readings for a in ("DOC", "Fe")))
+    alone = metrics.corrected_metrics(scan(spark, readings), lab, with_raw=False)
+    assert {r.sampleID for r in alone.collect()} == {"at254", "at350"}
+    assert metrics.corrected_metrics(scan(spark, readings), lab).count() == 4
+
+
 def test_separate_tables_give_the_fused_result(spark):
     readings = scan(spark, exponential("s") + exponential("t", 0.01))
     lab = chem(spark, ("s", "DOC", 2.0), ("t", "DOC", 1.0), ("t", "Fe", 0.01))

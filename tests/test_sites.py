@@ -131,6 +131,18 @@ def test_exact_quantiles_with_brackets(spark, shape, monkeypatch):
     assert whole["q0"] == pytest.approx(quantile([v for _, v in rows if v is not None], 0.5))
 
 
+@pytest.mark.parametrize("shift", [-0.3, 0.3])
+def test_quantile_outside_its_bracket_raises(spark, shift, monkeypatch):
+    """A wrong sketch is noticed whether the rank lies above or below its bracket."""
+    monkeypatch.setattr(stats, "SMALL_GROUP", 200)
+    right = stats.F.percentile_approx
+    monkeypatch.setattr(stats.F, "percentile_approx", lambda c, p, a: right(
+        c, [min(max(x + shift, 0.0), 1.0) for x in p], a))
+    df = slopes(spark, [("a", float(i)) for i in range(10_001)])
+    with pytest.raises(Exception, match="outside its bracket"):
+        stats.exact_quantiles(df, "Sr", [0.5], ["siteID"]).collect()
+
+
 def test_quantiles_of_nothing(spark):
     assert stats.exact_quantiles(slopes(spark, []), "Sr", [0.5]).count() == 0
 

@@ -1,3 +1,4 @@
+import gzip
 from datetime import datetime, timedelta
 
 import pytest
@@ -82,7 +83,8 @@ def test_csv_folder_is_stacked_by_name(spark, tmp_path):
 
 
 def test_equal_headers_are_checked(spark, tmp_path):
-    for name, header in (("a", "siteID,SUVA\nA,1\n"), ("b", "SUVA,siteID\n1,B\n")):
+    rest = "collectDate,wavelength,absorbance,DOC"
+    for name, header in (("a", f"siteID,SUVA,{rest}\nA,1,x,1,1,1\n"), ("b", f"SUVA,siteID,{rest}\n1,B,x,1,1,1\n")):
         (tmp_path / f"{name}.csv").write_text(header)
     with pytest.raises(Exception, match="header"):
         tables.read_csv_dir(spark, [str(tmp_path)], schemas.SUVA_SPECTRUM).collect()
@@ -90,6 +92,43 @@ def test_equal_headers_are_checked(spark, tmp_path):
         tables.read_csv_dir(spark, [], schemas.SUVA_SPECTRUM)
 
 
+def test_every_file_of_a_folder_is_read(spark, tmp_path):
+    text = "siteID,collectDate,wavelength,absorbance,DOC,SUVA\n{},x,254,0.1,2,5\n"
+    for site, name in zip("ABCD", ("a.csv", "b.CSV", "c", "d.txt")):
+        (tmp_path / name).write_text(text.format(site))
+    (tmp_path / "e.csv.gz").write_bytes(gzip.compress(text.format("E").encode()))
+    read = tables.read_csv_dir(spark, str(tmp_path), schemas.SUVA_SPECTRUM)
+    assert {r.siteID for r in read.collect()} == set("ABCDE")
+    some = tables.read_csv_dir(spark, str(tmp_path), schemas.SUVA_SPECTRUM, pattern="*.csv")
+    assert {r.siteID for r in some.collect()} == {"A"}
+
+
+def test_absent_columns_and_wrong_values_raise(spark, tmp_path):
+    product(spark, tmp_path)
+    path = str(tmp_path / NAME)
+    rows = spark.read.parquet(path)
+    for column, options, error in (
+        ("decadicAbsorbance", {}, "decadicAbsorbance"), ("release", {"include_provisional": False}, "release")):
+        root = str(tmp_path / column)
+        sinks.write_table(rows.drop(column), f"{root}/{NAME}", fmt="parquet")
+        with pytest.raises(ValueError, match=error):
+            tables.read_product(spark, root, [NAME], **options)
+    assert tables.read_product(spark, str(tmp_path / "release"), [NAME])[NAME].count() == 4
+    (tmp_path / "bad.csv").write_text(
+        "siteID,collectDate,wavelength,absorbance,DOC,SUVA\nA,x,254,0.1,two,5\nB,x,254,NA,,5\n")
+    bad = tables.read_csv_dir(spark, [str(tmp_path / "bad.csv")], schemas.SUVA_SPECTRUM)
+    assert bad.where("siteID = 'B' and absorbance is null and DOC is null").select("siteID").count() == 1
+    with pytest.raises(Exception, match="DOC is not double: two"):
+        bad.collect()
+
+
+def test_clustered_files(spark, tmp_path):
+    sinks.write_clustered(spark.range(0, 1000, 1, 8), "clustered_ids", ["id"], 4)
+    assert len(set(spark.table("clustered_ids").inputFiles())) == 4
+    assert spark.table("clustered_ids").count() == 1000
+    spark.sql("drop table clustered_ids")
+
+
 def test_sites_file(spark, tmp_path):
     path = tmp_path / "sites.csv"
     path.write_text("extra,site_type,site_id,latitude\n1,Core Aquatic,A,12.5\n2,NA,B,NA\n")
@@ -117,7 +156,8 @@ def test_csv_output_keeps_infinity_and_fraction(spark, tmp_path):
     df = spark.createDataFrame([("A", moment, float("inf")), (None, None, None)],
                                "siteID string, collectDate timestamp, SUVA double")
     sinks.write_table(df, str(tmp_path / "out"))
-    back = tables.read_csv_dir(spark, [str(tmp_path / "out")], schemas.SUVA_SPECTRUM)
+    back = tables.read_csv_dir(spark, [str(tmp_path / "out")], schemas.SUVA_SPECTRUM,
+                               optional=("wavelength", "absorbance", "DOC"))
     row = back.where("siteID = 'A'").select("*", parse_timestamp("collectDate").alias("t")).first()
     assert row.SUVA == float("inf") and row.t == moment
     assert back.where("siteID is null and collectDate is null and SUVA is null").count() == 1
