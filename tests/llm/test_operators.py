@@ -256,10 +256,10 @@ def test_seatings_follow_the_restaurant():
         seating.sweep(np.full(4000, weight))
         means.append(seating.tables.mean())
     assert np.mean(means[2:]) == pytest.approx(exact, abs=0.03)
-    large = pitman_yor.Seating(np.array([1, 0, 500, 40]), d, np.random.default_rng(1))
+    large = pitman_yor.Seating(np.array([1, 0, 500, 90]), d, np.random.default_rng(1))
     large.seat(np.full(4, weight))
     large.sweep(np.full(4, weight))
-    assert large.tables[:2].tolist() == [1, 0] and [s.sum() for s in large.sizes.values()] == [500, 40]
+    assert large.tables[:2].tolist() == [1, 0] and [s.sum() for s in large.sizes.values()] == [500, 90]
 
 
 # --- neighbours -------------------------------------------------------------
