@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from tannin.llm.words import byte_slices, documents_of, segment_sums, split_words
+from tannin.llm.words import byte_slices, documents_of, segment_sums, split_words, tidy
 
 #: Text whose distinct words are merged together; bounds a worker's memory.
 BLOCK_BYTES = 12 << 20
@@ -263,6 +263,8 @@ def encode(docs: DataFrame, tokenizer: str, decoded: bool = False) -> DataFrame:
                 if decoded:
                     found["decoded"] = bpe.decode(lists)
                 yield pa.RecordBatch.from_pydict(found)
+            del block, words, distinct, index, ids, lists, found
+            pa.default_memory_pool().release_unused()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return documents_of(docs, "doc_id", "text").mapInArrow(
@@ -278,7 +280,7 @@ def decode(encoded: DataFrame, tokenizer: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _bpe(tokenizer)
-        for batch in batches:
+        for batch in tidy(batches):
             ids = batch.column("ids")
             step = max(1, len(ids) // 8)
             for start in range(0, len(ids), step):

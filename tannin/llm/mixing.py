@@ -124,7 +124,7 @@ def mix(docs: DataFrame, columns: Sequence[str] | None = None, weights: Sequence
     goals = targets(by_source, weights, share, repeat) \
         .withColumn("_shards", F.ceil(F.sqrt((F.col("source_size") + 1) / SHARD)))
     seats = F.round(F.sum("target").over(W.partitionBy()) / block).cast("long")
-    goals = sinks.materialize(apportion(goals, "target", seats, [], [F.col("turn")], "_blocks"))
+    goals = sinks.store(apportion(goals, "target", seats, [], [F.col("turn")], "_blocks"), "goals")
     row = F.struct(*(F.col(f"`{c}`") for c in columns or docs.columns)).alias("_row")
     placed = _placed(_sized(docs, seed, row), goals, seed)
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tannin.llm.components import components
-from tannin.llm.words import sliced, split_words, text_column
+from tannin.llm.words import sliced, split_words, text_column, tidy
 from tannin.sources import sinks
 
 SHINGLE = 4
@@ -62,7 +62,7 @@ def fingerprints_of(texts: pa.Array, shingle: int = SHINGLE) -> np.ndarray:
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, tie (a hash of the text) and fingerprint (long) of every row of ``docs``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, "text", BATCH_BYTES):
+        for batch in sliced(tidy(batches), "text", BATCH_BYTES):
             found = fingerprints_of(batch.column("text"), shingle).view(np.int64)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("tie"), pa.array(found)],
@@ -174,10 +174,14 @@ def one_of_each(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -
     """
     found = near_duplicates(docs, shingle, radius)
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie")
+    # null ids as a flag and a value, so that the join and the removal of equal rows, both by
+    # these columns, need one partitioning
+    kind = docs.schema["doc_id"].dataType
+    place = lambda doc_id, tie: (
+        doc_id.isNull().alias("_none"), F.coalesce(doc_id, F.lit(0).cast(kind)).alias("_id"), tie.alias("_tie"))
     kept = found.groupBy("root").agg(F.min(order).alias("kept")) \
-        .select(F.col("kept.doc_id").alias("_kept_id"), F.col("kept.tie").alias("_kept_tie"))
-    row = docs.select(F.struct("*").alias("_row"), F.xxhash64(text_column()).alias("_tie"))
-    same = row["_row.doc_id"].eqNullSafe(kept["_kept_id"]) & (row["_tie"] == kept["_kept_tie"])
-    once = row.join(kept, same, "left_semi").withColumn("_id", F.col("_row.doc_id")) \
-        .dropDuplicates(["_id", "_tie"])
+        .select(*place(F.col("kept.doc_id"), F.col("kept.tie")))
+    row = docs.select(F.struct("*").alias("_row"), *place(F.col("doc_id"), F.xxhash64(text_column())))
+    keys = ["_none", "_id", "_tie"]
+    once = row.join(kept, keys, "left_semi").dropDuplicates(keys)
     return once.select(*(F.col(f"_row.`{c}`").alias(c) for c in docs.columns))

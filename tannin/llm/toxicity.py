@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tannin.llm.words import WORD, byte_slices, segment_sums, split_words, text_column
+from tannin.llm.words import WORD, byte_slices, segment_sums, split_words, text_column, tidy
 
 #: Labelled documents that a model is fitted on, at most.
 MAX_DOCS = 3000
@@ -333,7 +333,7 @@ def tag(docs: DataFrame, tagger: Tagger, columns: Sequence[str]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tagger = model.value
-        for batch in batches:
+        for batch in tidy(batches):
             for a, b in byte_slices(batch.column("_text"), BATCH_BYTES):
                 texts = batch.column("_text").slice(a, b - a)
                 words, p = tagger.tag(texts)

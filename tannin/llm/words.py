@@ -89,6 +89,15 @@ def sliced(batches: Iterable[pa.RecordBatch], text: str, max_bytes: int) -> Iter
             yield batch.slice(start, stop - start)
 
 
+def tidy(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same batches; at their end Arrow's free memory goes back to the system.
+
+    Workers are kept between tasks, and what one holds unused is missing to the next stage.
+    """
+    yield from batches
+    pa.default_memory_pool().release_unused()
+
+
 def segment_sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Sums of values[offsets[i]:offsets[i + 1]], 0 for empty ranges."""
     total = np.concatenate([[0], np.cumsum(values)])
