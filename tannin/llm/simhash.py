@@ -34,7 +34,8 @@ _VOTES = 1 << 18
 
 def fingerprints_of(texts: pa.Array, shingle: int = SHINGLE) -> np.ndarray:
     """The 64-bit SimHash of each text; 0 for texts without words."""
-    words = split_words(pc.ascii_lower(texts.cast(pa.large_string())))
+    # lowered before any cast: Arrow reads a slice that was cast beyond its values
+    words = split_words(pc.ascii_lower(texts))
     ends, space = (pa.scalar(s, pa.large_string()) for s in ("", " "))
     spaced = pc.binary_join_element_wise(words.words, ends, space)
     ends = np.frombuffer(spaced.buffers()[1], np.int64)[spaced.offset:spaced.offset + len(spaced) + 1] \
