@@ -513,15 +513,23 @@ _QUERIES: dict[str, tuple[dict[str, str], str, str]] = {
                 case when least(sd, robust) > 0 then least(sd, robust)
                      when sd > 0 then sd when one <> 0 then abs(one) else 1e0 end as bw
             from spreads""",
-        "grid": """
-            select i, lo + i * (hi - lo) / 511e0 as x
-            from (select min("Sr") as lo, max("Sr") as hi from complete_slopes)
-            cross join range(512) r(i)"""}, """
-        select "siteID", cast(i as integer) as i, x,
-               sum(exp(-pow((x - "Sr") / bw, 2) / 2)) / (n * bw * sqrt(2 * pi()))
+        "span": """select min("Sr") as lo, (max("Sr") - min("Sr")) / 511e0 as step
+                   from complete_slopes""",
+        # each value weighs on the two grid points beside it
+        "places": """
+            select "siteID", case when step > 0 then least(("Sr" - lo) / step, 511e0) else 0e0 end
+                   as place from complete_slopes cross join span""",
+        "weights": """
+            select "siteID", k, sum(weight) as weight
+            from (select "siteID", floor(place) as k, 1 - (place - floor(place)) as weight from places
+                  union all
+                  select "siteID", floor(place) + 1, place - floor(place) from places)
+            where weight > 0 group by "siteID", k"""}, """
+        select "siteID", cast(i as integer) as i, lo + i * step as x,
+               sum(weight * exp(-pow((i - k) * step / bw, 2) / 2)) / (n * bw * sqrt(2 * pi()))
                    as density
-        from widths join complete_slopes using ("siteID") cross join grid
-        group by "siteID", i, x, n, bw""", "x density"),
+        from widths join weights using ("siteID") cross join span cross join range(512) r(i)
+        group by "siteID", i, lo, step, n, bw""", "x density"),
     "doc_by_time": (_PAIR_STEPS, "select * from grab_times", "DOC"),
     "fdom_5min": (_PAIR_STEPS, "select * from buckets", "fDOM"),
     "pair_doc_fdom": (_PAIR_STEPS, "select * from pairs", "DOC fDOM"),

@@ -9,9 +9,6 @@ from operator import and_
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Into how many parts the rows of one key are spread.
-SPREAD = 16
-
 
 def merge_tables(
     left: DataFrame,
@@ -53,24 +50,3 @@ def merge_tables(
     rest = [F.col(f"l.`{c}`") for c in l.columns if c not in on]
     rest += [F.col(f"r.`{c}`") for c in r.columns if c not in on]
     return joined.select(*keys, *rest)
-
-
-def attach(
-    rows: DataFrame, groups: DataFrame, by: Iterable[str], how: str = "inner",
-    null_safe: bool = True,
-) -> DataFrame:
-    """Add per-group columns to rows; ``groups`` has one row per key.
-
-    A key may hold a large part of all rows, so its rows are spread by their
-    other columns over several tasks and its group row is repeated for each.
-    """
-    by = list(by)
-    others = [c for c in rows.columns if c not in by]
-    part = F.pmod(F.xxhash64(*others), F.lit(SPREAD)) if others else F.lit(0)
-    parts = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SPREAD - 1).cast("long")))
-    joined = merge_tables(
-        rows.withColumn("_part", part.cast("long")),
-        groups.withColumn("_part", parts), [*by, "_part"], how, null_safe,
-    )
-    added = [c for c in groups.columns if c not in by]
-    return joined.select(*rows.columns, *added)

@@ -10,14 +10,14 @@ from pyspark.sql import functions as F
 from tannin.functions.missing import (
     drop_incomplete, ieee_div, known, nan_to_null, strict_avg,
 )
-from tannin.operators.merging import attach, merge_tables
+from tannin.operators.merging import merge_tables
 
 SAMPLE_ATTRIBUTES = ("domainID", "siteID", "collectDate")
 SITE_DATE = ("siteID", "collectDate")
 
 
 def average_replicates(
-    scan: DataFrame, attributes: Sequence[str] = SAMPLE_ATTRIBUTES
+    scan: DataFrame, attributes: Sequence[str] = SAMPLE_ATTRIBUTES, check: bool = True
 ) -> DataFrame:
     """One row per sample and wavelength: the mean of the replicate scans.
 
@@ -25,10 +25,29 @@ def average_replicates(
     along as grouping keys: text in an aggregation buffer would force a sort,
     as keys they leave it a hash aggregate that combines before the shuffle.
     The wavelength in the key spreads even a sample with very many rows.
+
+    Replicates with different attributes raise an error when the rows are
+    computed, unless a later aggregate does so and ``check`` is off.
     """
-    return scan.groupBy("sampleID", *attributes, "wavelength").agg(
+    means = scan.groupBy("sampleID", *attributes, "wavelength").agg(
         strict_avg("decadicAbsorbance").alias("absorbance")
     )
+    return one_per_key(means, ["sampleID", "wavelength"]) if check else means
+
+
+def one_per_key(groups: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The rows themselves; a key with several of them raises when it is computed.
+
+    For aggregates that carry more grouping columns than the key: each set of
+    values is one row, so the window holds no more than the sets of one key.
+    No input is read twice, and filters on the key pass through to the scan.
+    """
+    text = F.concat_ws(" ", *(F.coalesce(F.col(k).cast("string"), F.lit("NULL")) for k in keys))
+    several = F.raise_error(F.concat(F.lit(f"attributes differ within {' '.join(keys)}: "), text))
+    counted = groups.withColumn("_rows", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
+    # the filter on the count cannot move below it
+    alone = F.when(F.col("_rows") > 1, several.cast("boolean")).otherwise(F.lit(True))
+    return counted.where(alone).drop("_rows")
 
 
 def functional_violations(
@@ -174,10 +193,10 @@ def group_mean_on_rows(
     """Every row kept, SUVA replaced by the mean of its group.
 
     Aggregate and join back rather than a window, which would hold all rows
-    of a group in one task.
+    of a group in one task: of the join Spark splits the rows of a hot key.
     """
     means = spectrum.groupBy(*keys).agg(F.avg(nan_to_null("SUVA")).alias("SUVA"))
-    return attach(spectrum.drop("SUVA"), means, keys).select(*spectrum.columns)
+    return merge_tables(spectrum.drop("SUVA"), means, keys, null_safe=True).select(*spectrum.columns)
 
 
 def spectrum_series(

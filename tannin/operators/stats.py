@@ -4,22 +4,20 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tannin.functions.missing import is_finite, nan_to_null
 from tannin.functions.student_t import t_critical, t_two_sided_p
-from tannin.operators.merging import attach, merge_tables
-from tannin.sources.sinks import is_small, materialize
+from tannin.operators.merging import merge_tables
+from tannin.sources.sinks import store
 
 # Rank error of the quantile sketch is one in this many rows.
 SKETCH_ACCURACY = 10_000
-# Groups up to this size skip the bracketing of exact quantiles.
-SMALL_GROUP = 2 * SKETCH_ACCURACY
-
-# Most rows a table of per-group results may have to be broadcast.
-LOOKUP_ROWS = 50_000
+# Intervals that a bracket is cut into when its values are counted.
+SPLITS = 512
 
 QUARTILES = (0.25, 0.5, 0.75)
 
@@ -34,6 +32,24 @@ IQR_PER_SD = 1.34
 # exp(-u*u/2) is exactly zero beyond this many bandwidths
 KERNEL_REACH = 39.0
 
+# SQL text: the place of a value among the intervals of its bracket, those
+# below and above it included.  Halves, since a difference may overflow; in
+# full where the halves of the smallest numbers are equal.
+INTERVAL = f"""
+    case when _x < t.cut_low then 0 when _x > t.cut_high then {SPLITS + 1}
+         when t.cut_low = t.cut_high then 1
+         else 1 + least({SPLITS - 1}, int(floor({SPLITS} * coalesce(
+             try_divide(_x / 2 - t.cut_low / 2, t.cut_high / 2 - t.cut_low / 2),
+             try_divide(_x - t.cut_low, t.cut_high - t.cut_low))))) end"""
+
+# SQL text: the interval that holds a rank, from the counts of all of them
+HOLDING = """
+    aggregate(array_sort(intervals),
+        named_struct('rank', rank, 'c', 0L, 'low', double(null), 'high', double(null)),
+        (s, v) -> case when s.low is not null then s
+            when s.rank < v.c then named_struct('rank', s.rank, 'c', v.c, 'low', v.low, 'high', v.high)
+            else named_struct('rank', s.rank - v.c, 'c', 0L, 'low', double(null), 'high', double(null)) end)"""
+
 
 def exact_quantiles(
     df: DataFrame,
@@ -43,89 +59,112 @@ def exact_quantiles(
 ) -> DataFrame:
     """Interpolated quantiles ``q0, q1, ..`` and row count ``n`` per group.
 
-    Exact, yet no task ever holds a whole group.  A mergeable sketch brackets
-    each wanted rank; then one aggregate counts the rows below the bracket
-    and the rows per distinct value inside it, which are few, and only those
-    are ranked.  The brackets are fixed before they are used, so both counts
-    stay consistent when lost work is redone.  Reads ``df`` twice: materialize it if it is costly.
+    Exact, yet no task ever holds a group or ranks its values.  Non-finite
+    values take no part.  Reads ``df`` once for the summary of the groups and
+    once per pass of the selection: store it if it is costly.
     """
-    rows = df.where(is_finite(value)).select(*by, F.col(value).alias("_x"))
-    margin = 2.0 / SKETCH_ACCURACY
-    bounds = [
-        bound for p in probs for bound in (max(p - margin, 0.0), min(p + margin, 1.0))
-    ]
-    sketch = rows.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.percentile_approx("_x", bounds, SKETCH_ACCURACY).alias("bounds"),
-    ).where(F.col("n") > 0)
-
-    def bracket(i: int, p: float) -> Column:
-        rank = (F.col("n") - 1) * F.lit(float(p))
-        small = F.col("n") <= SMALL_GROUP
-        return F.struct(
-            F.lit(i).alias("i"),
-            F.when(~small, F.col("bounds")[2 * i]).alias("low"),
-            F.when(~small, F.col("bounds")[2 * i + 1]).alias("high"),
-            F.floor(rank).alias("lower"), F.ceil(rank).alias("upper"),
-            (rank - F.floor(rank)).alias("weight"),
-        )
-
-    brackets = sketch.select(
-        *by, "n", F.array(*(bracket(i, p) for i, p in enumerate(probs))).alias("w")
-    )
-    wanted = _join_groups(rows, brackets, by).select(
-        *by, "n", "_x", F.explode("w").alias("w")
-    ).where(F.col("w.high").isNull() | (F.col("_x") <= F.col("w.high")))
-    # rows below the bracket share the NULL value, which sorts first
-    inside = F.when(
-        F.col("w.low").isNull() | (F.col("_x") >= F.col("w.low")), F.col("_x")
-    )
-    counted = wanted.groupBy(*by, "n", "w", inside.alias("_x")).agg(
-        F.count(F.lit(1)).alias("c")
-    )
-    upto = F.sum("c").over(
-        Window.partitionBy(*by, "n", "w").orderBy(F.col("_x").asc_nulls_first())
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    ranked = counted.withColumn("upto", upto)
+    rows = _finite(df, value, by).withColumn(value, F.col(value).cast("double"))
+    summary = store(_summary(rows, value, probs, by), "summary")
+    return _quantiles(rows, summary, value, probs, by)
 
-    def at_rank(rank: str) -> Column:
-        # the first value beyond the rank; NULL if that is below the bracket
-        beyond = F.when(F.col("upto") > F.col(rank), F.col("upto"))
-        return F.min_by("_x", beyond)
 
-    located = ranked.groupBy(*by, "n", "w").agg(
-        at_rank("w.lower").alias("a"), at_rank("w.upper").alias("b"),
-    )
-    interpolated = F.coalesce(
-        F.col("a") + (F.col("b") - F.col("a")) * F.col("w.weight"),
-        F.raise_error(F.lit("quantile outside its bracket")).cast("double"),
-    )
-    found = located.select(*by, "n", F.col("w.i").alias("i"), interpolated.alias("q"))
-    return found.groupBy(*by, "n").agg(
-        *(F.max(F.when(F.col("i") == i, F.col("q"))).alias(f"q{i}")
-          for i in range(len(probs)))
-    )
+def _summary(rows: DataFrame, value: str, probs: Sequence[float], by: Sequence[str]) -> DataFrame:
+    """Per group: rows, ends, spread, and from a mergeable sketch where the ranks about lie."""
+    margin = 2.0 / SKETCH_ACCURACY
+    bounds = [bound for p in probs for bound in (max(p - margin, 0.0), min(p + margin, 1.0))]
+    return rows.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n"), F.min(value).alias("least"), F.max(value).alias("most"),
+        F.stddev_samp(value).alias("sd"),
+        F.percentile_approx(value, bounds, SKETCH_ACCURACY).alias("bounds"),
+    ).where("n > 0")
 
 
-def _join_groups(
-    rows: DataFrame, groups: DataFrame, by: Sequence[str], stored: bool = False
+def _quantiles(
+    rows: DataFrame, summary: DataFrame, value: str, probs: Sequence[float], by: Sequence[str]
 ) -> DataFrame:
-    """Add per-group columns to rows.
+    """Quantiles by repeated counting.
+
+    A quantile lies between the values of two neighbouring ranks.  For each
+    of them a bracket of values is known that holds it.  A pass cuts every
+    open bracket into intervals and counts their values, combining before the
+    shuffle, and keeps the interval of the rank, narrowed to its smallest and
+    largest value.  When these are equal, or the rank is the first or last,
+    the value is found.  The sketch only says where the first cuts lie: a
+    wrong one costs a pass.  The brackets are stored between passes, so lost
+    work is redone alike.
+    """
+    def target(i: int, p: float, upper: bool) -> Column:
+        place = (F.col("n") - 1) * F.lit(float(p))
+        return F.struct(
+            F.lit(2 * i + upper).alias("i"),
+            (F.ceil(place) if upper else F.floor(place)).cast("long").alias("rank"),
+            F.col("n").alias("c"), F.col("least").alias("low"), F.col("most").alias("high"),
+            F.col("bounds")[2 * i].alias("cut_low"), F.col("bounds")[2 * i + 1].alias("cut_high"),
+        )
 
-    The group table is stored first, unless it is: every reader then sees the
-    same values, and its size is known.  Small, it is broadcast and the rows stay where they
-    are; large, it is joined with the rows of each group spread out.  Without
-    grouping it is one row and becomes a scalar.
+    wanted = F.array(*(target(i, p, upper) for i, p in enumerate(probs) for upper in (False, True)))
+    brackets = summary.select(*by, F.explode(wanted).alias("t")).select(*by, _settled("t"))
+    found, still = [], store(brackets, "brackets")
+    while True:
+        found.append(still.where("t.low = t.high"))
+        still = still.where("t.low < t.high")
+        if still.isEmpty():
+            break
+        still = store(_narrowed(rows, still, value, by), "brackets")
+    settled = reduce(DataFrame.union, found).groupBy(*by).agg(*(
+        F.max(F.when(F.col("t.i") == i, F.col("t.low"))).alias(f"v{i}") for i in range(2 * len(probs))
+    ))
+    both = _join_groups(summary.select(*by, "n"), settled, by)
+
+    def interpolated(i: int, p: float) -> Column:
+        place = (F.col("n") - 1) * F.lit(float(p))
+        a, b = F.col(f"v{2 * i}"), F.col(f"v{2 * i + 1}")
+        return (a + (b - a) * (place - F.floor(place))).alias(f"q{i}")
+
+    return both.select(*by, "n", *(interpolated(i, p) for i, p in enumerate(probs)))
+
+
+def _settled(t: str) -> Column:
+    """A target whose bracket is one value where its rank is at an end."""
+    low, high = F.col(f"{t}.low"), F.col(f"{t}.high")
+    first, last = F.col(f"{t}.rank") == 0, F.col(f"{t}.rank") == F.col(f"{t}.c") - 1
+    fields = [F.col(f"{t}.{name}").alias(name) for name in ("i", "rank", "c")]
+    ends = [F.when(last & ~first, high).otherwise(low).alias("low"),
+            F.when(first, low).otherwise(high).alias("high")]
+    cuts = [F.col(f"{t}.{name}").alias(name) for name in ("cut_low", "cut_high")]
+    return F.struct(*fields, *ends, *cuts).alias("t")
+
+
+def _narrowed(rows: DataFrame, still: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
+    """One pass: each open bracket becomes the one of its intervals that holds the rank."""
+    targets = still.groupBy(*by).agg(F.collect_list("t").alias("w"))  # two per quantile at most
+    inside = F.filter("w", lambda t: F.col("_x").between(t["low"], t["high"]))
+    counted = _join_groups(rows.select(*by, F.col(value).alias("_x")), targets, by).select(
+        *by, "_x", F.explode(inside).alias("t")
+    ).groupBy(*by, F.col("t.i").alias("i"), F.col("t.rank").alias("rank"),
+              F.expr(INTERVAL).alias("interval")).agg(
+        F.count(F.lit(1)).alias("c"), F.min("_x").alias("low"), F.max("_x").alias("high"))
+    chosen = counted.groupBy(*by, "i", "rank").agg(
+        F.collect_list(F.struct("interval", "c", "low", "high")).alias("intervals")  # SPLITS + 2 at most
+    ).select(*by, "i", F.expr(HOLDING).alias("s"))
+    narrower = chosen.select(*by, F.struct(
+        "i", "s.rank", "s.c", "s.low", "s.high",
+        F.col("s.low").alias("cut_low"), F.col("s.high").alias("cut_high")).alias("t"))
+    return narrower.select(*by, _settled("t"))
+
+
+def _join_groups(rows: DataFrame, groups: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Add per-group columns to rows; ``groups`` has one row per key.
+
+    An ordinary join: groups come from stored tables, whose bytes Spark knows,
+    so it broadcasts them by size, and splits the rows of a hot key when it
+    shuffles.  Without grouping there is one row, which becomes a scalar.
     """
-    if not by:
-        one = groups.select(F.struct(*groups.columns).alias("g")).scalar()
-        with_one = rows.withColumn("g", one).where(F.col("g").isNotNull())
-        return with_one.select(*rows.columns, "g.*")
-    groups = groups if stored else materialize(groups)
-    if is_small(groups, LOOKUP_ROWS):
-        return merge_tables(rows, F.broadcast(groups), by, null_safe=True)
-    return attach(rows, groups, by)
+    if by:
+        return merge_tables(rows, groups, by, null_safe=True)
+    one = groups.select(F.struct(*groups.columns).alias("g")).scalar()
+    with_one = rows.withColumn("g", one).where(F.col("g").isNotNull())
+    return with_one.select(*rows.columns, *(F.col(f"g.`{c}`") for c in groups.columns))
 
 
 def box_stats(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
@@ -134,16 +173,25 @@ def box_stats(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
     Whiskers end at the last values within 1.5 interquartile ranges of the
     box.  Non-finite values take no part.
     """
-    rows = materialize(_finite(df, value, by))
-    return _box(rows, value, by)
+    rows = store(_finite(df, value, by), "values")
+    quartiles = store(exact_quantiles(rows, value, QUARTILES, by), "quartiles")
+    inner = F.when(_within_fences(value), F.col(value))
+    return _join_groups(rows, quartiles, by).groupBy(*by, "n", "q0", "q1", "q2").agg(
+        F.min(inner).alias("low"), F.max(inner).alias("high"),
+        F.count_if(~_within_fences(value)).alias("outliers"),
+    ).select(
+        *by, "n",
+        F.least("low", "q0").alias("ymin"), F.col("q0").alias("lower"),
+        F.col("q1").alias("middle"), F.col("q2").alias("upper"),
+        F.greatest("high", "q2").alias("ymax"), "outliers",
+    )
 
 
 def box_outliers(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
     """The rows of ``df`` that lie outside the whiskers of their group."""
-    rows = materialize(_finite(df, value, by, *df.columns))
-    box = exact_quantiles(rows, value, QUARTILES, by)
-    joined = _join_groups(rows, box, by)
-    return joined.where(~_within_fences(value)).select(*df.columns)
+    rows = store(_finite(df, value, by, *df.columns), "values")
+    box = store(exact_quantiles(rows, value, QUARTILES, by), "quartiles")
+    return _join_groups(rows, box, by).where(~_within_fences(value)).select(*df.columns)
 
 
 def _finite(df: DataFrame, value: str, by: Sequence[str], *more: str) -> DataFrame:
@@ -156,81 +204,64 @@ def _within_fences(value: str) -> Column:
     return F.col(value).between(F.col("q0") - reach, F.col("q2") + reach)
 
 
-def _box(rows: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
-    quartiles = exact_quantiles(rows, value, QUARTILES, by)
-    joined = _join_groups(rows, quartiles, by)
-    inner = F.when(_within_fences(value), F.col(value))
-    return joined.groupBy(*by, "n", "q0", "q1", "q2").agg(
-        F.min(inner).alias("low"), F.max(inner).alias("high"),
-        F.count_if(~_within_fences(value)).alias("outliers"),
-    ).select(
-        *by, "n",
-        F.least("low", "q0").alias("ymin"), F.col("q0").alias("lower"),
-        F.col("q1").alias("middle"), F.col("q2").alias("upper"),
-        F.greatest("high", "q2").alias("ymax"), "outliers",
-    )
-
-
 def density_curve(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
     """Gaussian kernel density per group on one grid over all groups' range.
 
-    Exact sum over the values, with equal values collapsed first.  A value
-    only meets the grid points its kernel can reach; the sums combine before
-    the shuffle, so a large group costs work but no single task.
+    Linear binning: a value gives its two neighbouring grid points shares of
+    its weight by closeness, and the kernel runs between grid points.  So
+    whatever the number of values, a group is at most one weight per grid
+    point, and the curve a product of the kernel matrix of the grid with
+    these weights.  Groups of one value have no curve.
     """
-    rows = materialize(_finite(df, value, by))
-    span = rows.agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
-    quartiles = exact_quantiles(rows, value, QUARTILES, by)
-    spread = rows.groupBy(*by).agg(
-        F.stddev_samp(value).alias("sd"), F.min(value).alias("first")
-    )
-    several = quartiles.where(F.col("n") > 1)
-    both = merge_tables(spread, several, by, null_safe=True) if by else \
-        _join_groups(spread, several, by)
-    groups = both.select(
-        *by, "n", _bandwidth().alias("bw"),
-        span.select(F.struct("lo", "hi")).scalar().alias("span"),
-    )
-    # one row per group; read three times below
-    groups = materialize(groups.select(*by, "n", "bw", "span.lo", "span.hi"))
-    step = (F.col("hi") - F.col("lo")) / (DENSITY_GRID - 1)
-    distinct = rows.groupBy(*by, value).agg(F.count(F.lit(1)).alias("c"))
-    reach = F.lit(KERNEL_REACH) * F.col("bw")
-
-    def grid_index(x: Column) -> Column:
-        cell = F.when(step > 0, (x - F.col("lo")) / step).otherwise(F.lit(0.0))
-        return F.greatest(F.lit(0.0), F.least(F.lit(DENSITY_GRID - 1.0), cell))
-
-    touched = F.sequence(
-        F.floor(grid_index(F.col(value) - reach)).cast("int"),
-        F.when(step > 0, F.ceil(grid_index(F.col(value) + reach)))
-        .otherwise(DENSITY_GRID - 1).cast("int"),
-    )
-    spreading = _join_groups(distinct, groups, by, stored=True).select(
-        "*", F.explode(touched).alias("i")
-    )
-    u = (F.col("lo") + F.col("i") * step - F.col(value)) / F.col("bw")
-    sums = spreading.groupBy(*by, "i").agg(
-        F.sum(F.col("c") * F.exp(-u * u / 2)).alias("kernel")
-    )
-    grid = groups.select(
-        "*", F.explode(F.sequence(F.lit(0), F.lit(DENSITY_GRID - 1))).alias("i")
-    )
+    rows = store(_finite(df, value, by).withColumn(value, F.col(value).cast("double")), "values")
+    summary = store(_summary(rows, value, QUARTILES, by), "summary")
+    several = summary.where("n > 1")
+    span = summary.agg(F.min("least").alias("lo"), F.max("most").alias("hi"))
+    quartiles = _quantiles(rows, several, value, QUARTILES, by).drop("n")
+    groups = _join_groups(several, quartiles, by).select(
+        *by, "n", _bandwidth().alias("bw"), span.select(F.struct("lo", "hi")).scalar().alias("span"),
+    ).select(*by, "n", "bw", F.col("span.lo").alias("lo"), _step("span").alias("step"))
+    last = DENSITY_GRID - 1
+    place = F.when(_step("span") > 0, (F.col(value) - F.col("span.lo")) / _step("span")).otherwise(F.lit(0.0))
+    binned = rows.withColumn("span", span.select(F.struct("lo", "hi")).scalar()).select(
+        *by, F.least(F.greatest(place, F.lit(0.0)), F.lit(float(last))).alias("place")
+    ).groupBy(*by, F.floor("place").cast("int").alias("i")).agg(
+        F.sum(F.col("place") - F.floor("place")).alias("after"), F.count(F.lit(1)).alias("c"))
+    weights = binned.select(*by, F.explode(F.array(
+        F.struct("i", (F.col("c") - F.col("after")).alias("weight")),
+        F.struct((F.col("i") + 1).alias("i"), F.col("after").alias("weight")))).alias("w"),
+    ).where("w.weight > 0").select(*by, "w.*")
+    # how many grid points away a kernel is not zero
+    reach = F.when(F.col("step") > 0, F.least(
+        F.ceil(F.lit(KERNEL_REACH) * F.col("bw") / F.col("step")), F.lit(last))).otherwise(last).cast("int")
+    spread = _join_groups(weights, groups, by).withColumn("j", F.explode(F.sequence(
+        F.greatest(F.col("i") - reach, F.lit(0)), F.least(F.col("i") + reach, F.lit(last)))))
+    u = (F.col("j") - F.col("i")) * F.col("step") / F.col("bw")
+    sums = spread.groupBy(*by, "n", "bw", "lo", "step", "j").agg(
+        F.sum(F.col("weight") * F.exp(-u * u / 2)).alias("kernel"))
+    # a point that no kernel reaches has weight 0 from each group
+    grid = groups.select("*", F.explode(F.sequence(F.lit(0), F.lit(last))).alias("j"), F.lit(0.0).alias("kernel"))
+    names = [*by, "n", "bw", "lo", "step", "j"]
+    curve = sums.select(*names, "kernel").unionByName(grid.select(*names, "kernel")).groupBy(*names).agg(
+        F.sum("kernel").alias("kernel"))
     scale = F.col("n") * F.col("bw") * math.sqrt(2 * math.pi)
-    curve = merge_tables(grid, sums, [*by, "i"], "left", null_safe=True)
     return curve.select(
-        *by, "i", (F.col("lo") + F.col("i") * step).alias("x"),
-        (F.coalesce("kernel", F.lit(0.0)) / scale).alias("density"),
+        *by, F.col("j").alias("i"), (F.col("lo") + F.col("j") * F.col("step")).alias("x"),
+        (F.col("kernel") / scale).alias("density"),
     )
 
 
+def _step(span: str) -> Column:
+    return (F.col(f"{span}.hi") - F.col(f"{span}.lo")) / (DENSITY_GRID - 1)
+
+
 def _bandwidth() -> Column:
     """Normal reference rule: the smaller of two spreads, if not zero."""
     robust = (F.col("q2") - F.col("q0")) / IQR_PER_SD
     smaller = F.least("sd", robust)
     spread = (
         F.when(smaller > 0, smaller).when(F.col("sd") > 0, F.col("sd"))
-        .when(F.col("first") != 0, F.abs("first")).otherwise(F.lit(1.0))
+        .when(F.col("least") != 0, F.abs("least")).otherwise(F.lit(1.0))
     )
     return BANDWIDTH_FACTOR * spread * F.pow(F.col("n").cast("double"), F.lit(-0.2))
 
@@ -304,14 +335,14 @@ def linear_fit(df: DataFrame, y: str, x: str, by: Sequence[str] = ()) -> DataFra
 
 def fit_summary(df: DataFrame, y: str, x: str, by: Sequence[str] = ()) -> DataFrame:
     """``linear_fit`` with the five-number summary of the residuals."""
-    pairs = materialize(
+    pairs = store(
         df.where(is_finite(y) & is_finite(x)).select(
             *by, F.col(y).cast("double").alias(y), F.col(x).cast("double").alias(x)
-        )
+        ), "pairs"
     )
-    fit = materialize(linear_fit(pairs, y, x, by))
+    fit = store(linear_fit(pairs, y, x, by), "fit")
     line = fit.select(*by, "intercept", "slope")
-    residuals = _join_groups(pairs, line, by, stored=True).select(
+    residuals = _join_groups(pairs, line, by).select(
         *by,
         (F.col(y) - F.col("intercept") - F.col("slope") * F.col(x)).alias("residual"),
     )

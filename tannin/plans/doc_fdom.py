@@ -9,12 +9,9 @@ from pyspark.sql import functions as F
 
 from tannin.functions.missing import strict_avg
 from tannin.functions.parsing import round_5min
-from tannin.operators.merging import attach, merge_tables
+from tannin.operators.merging import merge_tables
 from tannin.operators.stats import fit_summary
-from tannin.sources.sinks import is_small, materialize
-
-# Most DOC collections whose buckets are broadcast; a bucket is some 40 bytes.
-BROADCAST_COLLECTIONS = 200_000
+from tannin.sources.sinks import store
 
 # Sensor positions where fDOM is measured.
 SENSOR_POSITIONS = ("102", "112", "103")
@@ -67,27 +64,19 @@ def pair_doc_fdom(
     ``by`` keeps sites apart; pass ``()`` for input of a single site whose
     sensor rows carry no site.
 
-    Collections are few beside sensor readings.  Their buckets are counted
-    first: when few enough to broadcast, readings outside them go before any
-    shuffle and averaging, and the means, no more than the buckets, are
-    broadcast in turn.  Otherwise all buckets are averaged and then reduced to
-    those with a collection.
+    One plan for all sizes.  The collections are stored, so Spark knows their
+    bytes.  It moves the restriction to their buckets below the averaging of
+    the readings, as a broadcast, when they are small enough for that; else
+    the readings are averaged first, which combines before the shuffle, and
+    only means meet the collections, of which a hot bucket is split.
     """
-    doc = materialize(doc_by_time(chem))
+    doc = store(doc_by_time(chem), "collections")
     keys = ["collectDate", *by]
     wanted = doc.select(
         F.col("collectDate").alias("startDateTime"), *by
     ).distinct()
-    readings = _rounded_readings(sensor, by)
-    on = wanted.columns
-    if is_small(doc, BROADCAST_COLLECTIONS):
-        matching = readings.join(F.broadcast(wanted), on, "left_semi")
-        fdom = _bucket_means(matching, by).withColumnRenamed("startDateTime", "collectDate")
-        pairs = merge_tables(doc, F.broadcast(fdom), keys, "left")
-    else:
-        means = _bucket_means(readings, by).join(wanted, on, "left_semi")
-        fdom = means.withColumnRenamed("startDateTime", "collectDate")
-        pairs = attach(doc, fdom, keys, "left", null_safe=False)
+    fdom = fdom_5min(sensor, by).join(wanted, wanted.columns, "left_semi")
+    pairs = merge_tables(doc, fdom.withColumnRenamed("startDateTime", "collectDate"), keys, "left")
     return pairs.select("collectDate", "domainID", "siteID", "DOC", "fDOM")
 
 

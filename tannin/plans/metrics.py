@@ -64,7 +64,8 @@ def _spectrum(scan: DataFrame, lab: DataFrame) -> DataFrame:
 
     ``lab`` has DOC per sample and may have iron, which may be missing.
     """
-    averaged = drop_incomplete(average_replicates(scan.where(USED_WAVELENGTHS)))
+    # differing attributes are found by the aggregate per sample
+    averaged = drop_incomplete(average_replicates(scan.where(USED_WAVELENGTHS), check=False))
     joined = merge_tables(averaged, drop_incomplete(lab, ["DOC"]), ["sampleID"])
     spectrum = joined.withColumn("SUVA", suva("absorbance", "DOC"))
     return drop_incomplete(spectrum, [c for c in spectrum.columns if c != "Fe"])
@@ -74,12 +75,11 @@ def _raw_profile() -> list[Column]:
     """Per-sample aggregates of the spectrum.
 
     Site, domain, date and DOC are those of the 254 nm row, so a sample
-    without one has none.
+    without one has none.  Rows of one sample with different attributes, at
+    whatever wavelengths, are a conflict.
     """
-    fingerprint = f"xxhash64({', '.join(SAMPLE_ATTRIBUTES)})"
-    conflict = " <> ".join(
-        f"{end}({fingerprint}) filter (where {_at(AT_254)})" for end in ("min", "max")
-    )
+    parts = ", ".join(f"{c} is null, {c}" for c in SAMPLE_ATTRIBUTES)
+    conflict = " <> ".join(f"{end}(xxhash64({parts}))" for end in ("min", "max"))
     return [
         *(_value_at(AT_254, c).alias(c) for c in (*SAMPLE_ATTRIBUTES, "DOC")),
         _value_at(AT_254, "SUVA").alias("SUVA254"),

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tannin.functions.missing import (
-    drop_incomplete, nan_to_null, strict_avg, strict_variance,
+    drop_incomplete, strict_avg, strict_variance,
 )
 from tannin.functions.parsing import as_number, parse_number
 from tannin.operators.merging import merge_tables
@@ -79,34 +79,13 @@ def overall_variation(slopes: DataFrame) -> DataFrame:
 def site_vs_overall(slopes: DataFrame) -> DataFrame:
     """Each site's variation beside the overall one.
 
-    The overall figures are merged from per-site moments, so the slopes are
-    computed once: within-site squares plus squares between site means.
+    Both are Spark's own moments, merged pairwise and free of cancelling sums.
+    The overall ones are a scalar over the same slopes, whose shuffle Spark
+    runs once and uses again.
     """
-    value = nan_to_null("Sr")
-    moments = slopes.groupBy("siteID").agg(
-        F.count(F.lit(1)).alias("rows"), F.count(value).alias("known"),
-        F.avg(value).alias("mean"), F.var_samp(value).alias("var"),
-    )
-    within = F.sum(F.coalesce(F.col("var"), F.lit(0.0)) * (F.col("known") - 1))
-    known = F.sum("known")
-    between = F.sum(F.col("known") * F.col("mean") * F.col("mean")) - F.try_divide(
-        F.pow(F.sum(F.col("known") * F.col("mean")), F.lit(2)), known
-    )
-    strict = F.sum("rows") == known
-    overall = moments.agg(
-        F.when(strict & (known > 1), (within + between) / (known - 1)).alias("var"),
-        F.when(strict, F.try_divide(F.sum(F.col("known") * F.col("mean")), known))
-        .alias("mean"),
-    ).select(F.struct("var", "mean")).scalar()
-    complete = F.col("rows") == F.col("known")
-    return moments.select(
-        "siteID",
-        F.when(complete, F.col("var")).alias("var"),
-        F.when(complete, F.col("mean")).alias("mean"),
-        overall.alias("overall"),
-    ).select(
-        "siteID", "var", "mean", F.col("overall.var").alias("overall_var"),
-        F.col("overall.mean").alias("overall_mean"),
+    overall = overall_variation(slopes).select(F.struct("overall_var", "overall_mean")).scalar()
+    return site_variation(slopes).withColumn("overall", overall).select(
+        "siteID", "var", "mean", "overall.overall_var", "overall.overall_mean"
     )
 
 

@@ -95,8 +95,3 @@ def store(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def is_small(stored: DataFrame, rows: int) -> bool:
-    """Whether a stored table has at most ``rows`` rows."""
-    return stored.limit(rows + 1).count() <= rows

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import re
-from collections import defaultdict
 from collections.abc import Collection, Iterable, Mapping
 from datetime import datetime
 from functools import reduce
+from operator import and_
+from urllib.parse import unquote
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -52,14 +53,18 @@ def _typed(
     return df.select(*(pick(f) for f in schema.fields))
 
 
-def _read_csv(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+def _csv_reader(spark: SparkSession) -> DataFrameReader:
     # enforceSchema off: every file's header is checked against the columns
     return (
         spark.read.option("header", True).option("nullValue", "NA")
-        .option("enforceSchema", False).csv(paths)
+        .option("enforceSchema", False)
     )
 
 
+def _read_csv(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    return _csv_reader(spark).csv(paths)
+
+
 def site_filter(
     df: DataFrame, sites: str | Iterable[str] = ALL_SITES, column: str = "siteID"
 ) -> DataFrame:
@@ -168,32 +173,63 @@ def read_csv_dir(
 ) -> DataFrame:
     """Stack CSV files by column name; row-name columns are left out.
 
-    All files of a folder are read, whatever their names, but for those that
-    Spark takes for hidden (a leading dot or underscore); ``pattern`` may ask
-    for fewer.  Every column of the schema but the ``optional`` ones must be in
+    ``paths`` is a folder, or a list of files and folders.  All files in them
+    are read, whatever their names, but for those that Spark takes for hidden
+    (a leading dot or underscore) and empty ones; ``pattern`` may ask for
+    fewer.  Every column of the schema but the ``optional`` ones must be in
     every header.
 
-    Spark matches CSV columns by position, so inputs whose headers differ in
-    order must not share a scan.  ``paths`` is a folder, or a list of files
-    and folders.  The files of one folder given as such are looked at one by
-    one; an entry of a list is looked at once, so that large folders written
-    by one job cost a single look.  Entries with equal headers share one scan,
-    in which a file with another header raises an error.
+    Spark matches CSV columns by position, so files whose headers differ must
+    not share a scan.  One distributed pass finds the header of every file,
+    and files with equal headers are read together: the number of jobs grows
+    with the number of different headers, not with that of files.
     """
-    entries = _files_in(spark, paths, pattern) if isinstance(paths, str) else list(paths)
-    by_header: dict[tuple[str, ...], list[str]] = defaultdict(list)
-    for entry in entries:
-        by_header[tuple(_read_csv(spark, entry).columns)].append(entry)
-    if not by_header:
+    entries = [paths] if isinstance(paths, str) else list(paths)
+    if not entries:
+        raise ValueError(f"no CSV file in {paths!r}")
+    required = [n for n in schema.names if n not in optional]
+    lines = _all_files(spark.read, pattern).text(entries)
+    headers = _headers(lines, required)
+    # a row per different header; Spark's own list of the files is on the driver as well
+    groups = headers.groupBy("header").agg(F.collect_list("path").alias("paths")).collect()
+    found = {path for group in groups for path in group["paths"]}
+    _without_lines(lines.where(~F.col("_metadata.file_path").isin(list(found)))
+                   if len(found) < len(lines.inputFiles()) else None, schema, optional)
+    if not groups:
         raise ValueError(f"no CSV file in {paths!r}")
-    parts = [_typed(_read_csv(spark, group), schema, optional) for group in by_header.values()]
+    if len(groups) == 1:
+        return _typed(_all_files(_csv_reader(spark), pattern).csv(entries), schema, optional)
+    parts = [_typed(_read_csv(spark, sorted(map(unquote, g["paths"]))), schema, optional) for g in groups]
     return reduce(DataFrame.unionByName, parts)
 
 
-def _files_in(spark: SparkSession, folder: str, pattern: str) -> list[str]:
-    # only the path column is asked for, so no file content is read
-    listing = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", True)
-        .option("pathGlobFilter", pattern).load(folder).select("path")
+def _all_files(reader: DataFrameReader, pattern: str) -> DataFrameReader:
+    return reader.option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
+
+
+def _headers(lines: DataFrame, required: list[str]) -> DataFrame:
+    """The header line of every file that has one: path, header.
+
+    It is the first line of a file that is not blank.  Only lines that hold
+    all required names are looked at, which few others do, and only those in
+    the first block of a file.
+    """
+    named = reduce(and_, (F.col("value").contains(n) for n in required), F.trim("value") != "")
+    placed = lines.select(
+        "value", F.col("_metadata.file_path").alias("path"),
+        F.col("_metadata.file_block_start").alias("start"),
+        # ascending within a block, which one task reads
+        F.monotonically_increasing_id().alias("line"),
     )
-    return sorted(row.path for row in listing.toLocalIterator())
+    return placed.where((F.col("start") == 0) & named).groupBy("path").agg(
+        F.min_by("value", "line").alias("header")
+    )
+
+
+def _without_lines(others: DataFrame | None, schema: T.StructType, optional: Collection[str]) -> None:
+    """Raise if one of these files, in which no header was found, has a line."""
+    first = None if others is None else others.where(F.trim("value") != "").select(
+        F.col("_metadata.file_path").alias("path")).first()
+    if first is not None:
+        _typed(_read_csv(others.sparkSession, unquote(first["path"])), schema, optional)
+        raise ValueError(f"no header in {first['path']}")

@@ -55,8 +55,9 @@ def test_zero_doc_and_missing_absorbance(spark):
     assert got["gap"].SUVA254 is None and got["gap"].SUVA350 == pytest.approx(10.0)
 
 
-def test_conflicting_attributes_raise(spark):
-    clash = scan(spark, [("s", 254, 0.1, "A"), ("s", 254, 0.1, "B")])
+@pytest.mark.parametrize("wavelength", [254, 350, 366, 280])
+def test_conflicting_attributes_raise(spark, wavelength):
+    clash = scan(spark, [("s", wavelength, 0.1, "A"), ("s", wavelength, 0.1, "B")])
     with pytest.raises(Exception, match="attributes differ"):
         metrics.sample_metrics(clash, chem(spark, ("s", "DOC", 1.0))).collect()
 

@@ -27,6 +27,17 @@ def test_average_is_a_hash_aggregate(spark):
     assert "HashAggregate" in text and "SortAggregate" not in text
 
 
+def test_two_sites_in_one_sample_raise(spark):
+    clash = scan(spark, [("s", 350, 0.1, "A"), ("s", 350, 0.1, "B"), ("t", 254, 0.1), (None, 254, 0.1)])
+    lab = chem(spark, ("s", "DOC", 2.0), ("t", "DOC", 2.0))
+    with pytest.raises(Exception, match="attributes differ within sampleID wavelength: s 350"):
+        spectra.suva_spectrum(clash, lab).collect()
+    # the restriction reaches the scan, and what it leaves has one site
+    assert spectra.wavelength_at(spectra.suva_spectrum(clash, lab), 254).count() == 1
+    text = plan(spectra.suva_spectrum(clash, lab))
+    assert "SortAggregate" not in text
+
+
 def test_functional_check(spark):
     clash = scan(spark, [("s", 254, 0.1, "A"), ("s", 256, 0.1, "B"), ("t", 254, 0.1)])
     found = spectra.functional_violations(clash, ["sampleID"], ["siteID"])
@@ -161,4 +172,6 @@ def test_filter_reaches_scan(spark, tmp_path):
     averaged = drop_incomplete(spectra.average_replicates(spark.read.parquet(path)))
     text = plan(spectra.wavelength_band(averaged, 275, 295))
     assert "GreaterThanOrEqual(wavelength,275.0)" in text
-    assert "IsNotNull(siteID)" in text
+    # missing attributes are looked at after differing ones
+    unchecked = drop_incomplete(spectra.average_replicates(spark.read.parquet(path), check=False))
+    assert "IsNotNull(siteID)" in plan(unchecked)
