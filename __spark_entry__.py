@@ -31,15 +31,31 @@ try:  # the subpackage is optional
 except ImportError:
     llm_queries = corpus_pipeline = None
 
-DECIMALS = 6
+# Doubles are compared to so many significant digits, sums of many terms to
+# fewer, since they differ in their last bits between engines.
+DIGITS, FLOOR = 9, "1e-12"
+FEWER_DIGITS = {
+    name: 6 for name in (
+        "density_curve", "driver_fit", "linear_fit", "doc_fdom_fit", "doc_fdom_fit_by_site",
+        "linear_fit_band", "driver_log_variance_band", "variation_log_band", "doc_fdom_band",
+    )
+} | {
+    name: 8 for name in (
+        "site_variation", "overall_variation", "site_vs_overall", "site_drivers", "driver_long",
+        "site_statistics", "write_statistics", "box_stats",
+    )
+}
 SMOKE_DIR = "/root/testdata/sf0.001"
 
 
-def _rounded(df: DataFrame) -> DataFrame:
-    """Round doubles, since sums differ in their last bits between engines."""
+def _rounded(df: DataFrame, digits: int) -> DataFrame:
+    """Doubles with so many significant digits, tiny ones as zero."""
+    def text(c: str) -> str:
+        return f"cast(format_string('%.{digits - 1}e', `{c}`) as double)"
+
     return df.select(*(
-        (F.round(c, DECIMALS) + F.lit(0.0)).alias(c)
-        if isinstance(df.schema[c].dataType, T.DoubleType) else F.col(c)
+        F.expr(f"case when abs(`{c}`) < {FLOOR} then 0d when `{c}` is not null then {text(c)} end").alias(c)
+        if isinstance(df.schema[c].dataType, T.DoubleType) else F.col(f"`{c}`")
         for c in df.columns
     ))
 
@@ -60,6 +76,11 @@ def _slopes(spark, d, water=None):
     return site_dates.slope_ratio_by_site_date(*_inputs(spark, d, water))
 
 
+def _whole_spectrum(spark, d):
+    """With the rows that lack a value, as it is before they are dropped."""
+    return spectra.suva_spectrum(*_inputs(spark, d), complete=False)
+
+
 def _both_waters(spark, d):
     return site_dates.compare_water_types(
         _slopes(spark, d, "surface"), _slopes(spark, d, "ground")
@@ -67,7 +88,7 @@ def _both_waters(spark, d):
 
 
 def _complete_slopes(spark, d):
-    return site_dates.slope_ratio_complete(_spectrum(spark, d))
+    return site_dates.slope_ratio_complete(_whole_spectrum(spark, d))
 
 
 def _drivers(spark, d):
@@ -152,6 +173,62 @@ def _write_table(spark, d):
     return spark.read.parquet(path).select(*pairs.columns)
 
 
+def _product(spark, label, **tables):
+    """Store tables as product tables; returns their folder."""
+    root = sinks.scratch_path(spark, label)
+    for name, df in tables.items():
+        sinks.write_table(df, f"{root}/{name}", fmt="parquet", partition_by=["siteID"])
+    return root
+
+
+def _read_sensor_product(spark, d):
+    """Sensor readings written by site, provisional ones (one position) left out."""
+    position = "if(horizontalPosition = '112', 'PROVISIONAL', 'RELEASE')"
+    sensor = given.sensor(spark, d).withColumn("release", F.expr(position))
+    root = _product(spark, "sensor", waq_instantaneous=sensor)
+    read = sources.read_product(
+        spark, root, ["waq_instantaneous"], sites=["N2", "N7"], include_provisional=False)
+    found = sources.table_by_pattern(read, "instantaneous")
+    return found.groupBy("siteID", "horizontalPosition").agg(
+        F.count(F.lit(1)).alias("readings"), F.count("rawCalibratedfDOM").alias("known"),
+        F.max("rawCalibratedfDOM").alias("top"))
+
+
+def _read_ground_product(spark, d):
+    """Ground water tables written and read, and the spectra of one site."""
+    scan, chem = _inputs(spark, d, "ground")
+    lab = chem.selectExpr("sampleID", "'D' as domainID", "'N3' as siteID",
+                          "timestamp_ntz '2024-01-01' as collectDate", "analyte", "analyteConcentration")
+    root = _product(spark, "ground", gwc_externalLabAbsorbanceScan=scan.withColumn(
+        "wavelength", F.col("wavelength").cast("double")), gwc_externalLabDataByAnalyte=lab)
+    read = sources.read_product(
+        spark, root, ["gwc_externalLabAbsorbanceScan", "gwc_externalLabDataByAnalyte"], sites="N3")
+    spectrum = spectra.suva_spectrum(
+        sources.table_by_pattern(read, "AbsorbanceScan"), sources.table_by_pattern(read, "DataByAnalyte"))
+    return spectrum.withColumn("wavelength", F.col("wavelength").cast("long"))
+
+
+def _site_doc_fdom(spark, d):
+    """Pairs of one site from its two product tables, the sensor's without its site."""
+    grabs = given.grabs(spark, d).withColumn("sampleID", F.lit("grab"))
+    root = _product(spark, "site", swc_externalLabDataByAnalyte=grabs, waq_instantaneous=given.sensor(spark, d))
+    read = sources.read_product(
+        spark, root, ["swc_externalLabDataByAnalyte", "waq_instantaneous"], sites="N4")
+    sensor = sources.table_by_pattern(read, "instantaneous").drop("siteID")
+    return doc_fdom.pair_doc_fdom(sources.table_by_pattern(read, "DataByAnalyte"), sensor, by=())
+
+
+def _written(query):
+    """A result table written as CSV and read back."""
+    def run(spark, d):
+        df = query(spark, d)
+        path = sinks.scratch_path(spark, "result")
+        sinks.write_table(df, path)
+        return sources.read_result(spark, path, df.schema)
+
+    return run
+
+
 def _bucketed_times(spark, d):
     return given.grabs(spark, d).select(
         "collectDate", round_5min("collectDate").alias("bucket")
@@ -217,6 +294,13 @@ QUERIES: dict[str, Query] = {
     "read_sites": _read_sites,
     "read_csv_dir": _read_csv_dir,
     "write_table": _write_table,
+    "read_sensor_product": _read_sensor_product,
+    "read_ground_product": _read_ground_product,
+    "site_doc_fdom": _site_doc_fdom,
+    "write_metrics": _written(_metrics),
+    "write_statistics": _written(lambda s, d: metrics.site_statistics(_metrics(s, d))),
+    "write_corrected": _written(lambda s, d: metrics.corrected_metrics(
+        *_inputs(s, d), with_raw=False)),
     # selections and scalar functions
     "analyte_slice": lambda s, d: spectra.analyte_slice(given.chem(s, d), "Fe"),
     "wavelength_at": lambda s, d: spectra.wavelength_at(_spectrum(s, d), 364, 366),
@@ -236,9 +320,8 @@ QUERIES: dict[str, Query] = {
     "functional_violations": lambda s, d: spectra.functional_violations(
         given.scan(s, d), spectra.SITE_DATE, ["sampleID"]),
     "suva_spectrum": _spectrum,
-    "complete_spectra": lambda s, d: spectra.complete_spectra(_spectrum(s, d)),
-    "spectra_wide": lambda s, d: spectra.spectra_wide(
-        _spectrum(s, d), [250, 254, 280, 350, 364, 366]),
+    "complete_spectra": lambda s, d: spectra.complete_spectra(_whole_spectrum(s, d)),
+    "spectra_wide": lambda s, d: spectra.spectra_wide(_whole_spectrum(s, d)),
     "group_mean_on_rows": lambda s, d: spectra.group_mean_on_rows(_spectrum(s, d)),
     "spectrum_series": _spectrum_series,
     "log_spectrum_series": lambda s, d: spectra.spectrum_series(
@@ -266,7 +349,8 @@ QUERIES: dict[str, Query] = {
     "site_variation": lambda s, d: site_dates.site_variation(_complete_slopes(s, d)),
     "overall_variation": lambda s, d: site_dates.overall_variation(
         _complete_slopes(s, d)),
-    "site_vs_overall": lambda s, d: site_dates.site_vs_overall(_complete_slopes(s, d)),
+    "site_vs_overall": lambda s, d: site_dates.site_vs_overall(
+        drop_incomplete(_complete_slopes(s, d), ["Sr"])),
     "site_drivers": _drivers,
     "driver_long": _driver_long,
     "driver_fit": lambda s, d: stats.linear_fit(
@@ -288,12 +372,13 @@ QUERIES: dict[str, Query] = {
     "pair_doc_fdom": _pairs,
     "linear_fit": lambda s, d: stats.linear_fit(_pairs(s, d), "DOC", "fDOM"),
     "doc_fdom_fit": lambda s, d: doc_fdom.doc_fdom_fit(_pairs(s, d)),
+    "doc_fdom_fit_by_site": lambda s, d: doc_fdom.doc_fdom_fit(_pairs(s, d), ["siteID"]),
     "doc_fdom_band": lambda s, d: stats.linear_fit_band(_pairs(s, d), "DOC", "fDOM"),
 }
 
 
-def _with_rounding(query: Query) -> Query:
-    return lambda spark, sf_dir: _rounded(query(spark, sf_dir))
+def _with_rounding(name: str, query: Query) -> Query:
+    return lambda spark, sf_dir: _rounded(query(spark, sf_dir), FEWER_DIGITS.get(name, DIGITS))
 
 
 def entry(spark: SparkSession) -> DataFrame:
@@ -302,14 +387,14 @@ def entry(spark: SparkSession) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = {name: _with_rounding(query) for name, query in QUERIES.items()}
+    found = {name: _with_rounding(name, query) for name, query in QUERIES.items()}
     if llm_queries:
         found |= llm_queries.QUERIES | {"pipeline": corpus_pipeline.run}
     return found
 
 
 def oracle_sql() -> dict[str, str]:
-    found = oracle_queries.rounded(DECIMALS)
+    found = oracle_queries.rounded(FEWER_DIGITS, DIGITS, FLOOR)
     if llm_queries:
         found |= llm_queries.ORACLE_SQL
         if corpus_pipeline.ORACLE_SQL:

@@ -17,18 +17,25 @@ def _scan(where: str) -> str:
                 as timestamp) as "collectDate",
            200 + 2 * (l_partkey % 101) as wavelength,
            case when l_linenumber % 2 = 0 then 'A' else 'B' end as replicate,
-           case when l_orderkey % 997 <> 0
+           case when l_suppkey % 23 = 7 and l_partkey % 101 = 38 then 0e0
+                when l_orderkey % 997 <> 0
                 then exp(-0.015e0 * (2 * (l_partkey % 101)))
                      * (0.5e0 + l_quantity / 100e0) end as "decadicAbsorbance"
-    from lineitem where {where.format(key='l_suppkey')}"""
+    from lineitem where {where.format(key='l_suppkey')}
+      and not (l_suppkey % 17 = 5 and l_partkey % 101 = 27)"""
 
 
 def _chem(where: str) -> str:
     return f"""
     select 'S' || s_suppkey as "sampleID", 'DOC' as analyte,
-           1e0 + abs(s_acctbal) / 1000e0 as "analyteConcentration"
+           case when s_suppkey % 47 = 6 then 0e0 else 1e0 + abs(s_acctbal) / 1000e0 end
+               as "analyteConcentration"
     from supplier where s_suppkey % 11 <> 3 and {where.format(key='s_suppkey')}
     union all
+    select 'S' || s_suppkey, 'DOC',
+           case when s_suppkey % 2 <> 0 then 1.25e0 + abs(s_acctbal) / 1000e0 end
+    from supplier where s_suppkey % 13 = 4 and {where.format(key='s_suppkey')}
+    union all
     select 'S' || s_suppkey, 'Fe', (s_suppkey % 13) / 50e0
     from supplier where s_suppkey % 7 <> 0 and {where.format(key='s_suppkey')}"""
 
@@ -66,7 +73,8 @@ _SENSOR = """
     select ts as "startDateTime", 'N' || (user_id % 10) as "siteID",
            case event_id % 4 when 0 then '102' when 1 then '112' when 2 then '103'
                 else '101' end as "horizontalPosition",
-           case when event_id % 50 <> 0 then value end as "rawCalibratedfDOM"
+           case when event_id % 499 = 7 then 'inf'::double
+                when event_id % 50 <> 0 then value end as "rawCalibratedfDOM"
     from events where event_type <> 'purchase'"""
 
 # --- derived steps, one set per water type ----------------------------------
@@ -90,16 +98,17 @@ def _steps(p: str) -> dict[str, str]:
         f"{p}iron": f"""
             select "sampleID", "analyteConcentration" as "Fe"
             from {p}chem where analyte = 'Fe'""",
-        f"{p}spectrum": f"""
+        f"{p}whole_spectrum": f"""
             select a.*, "DOC", absorbance / "DOC" * 100 as "SUVA"
-            from {p}averaged a join {p}doc using ("sampleID")
-            where absorbance is not null and "DOC" is not null""",
+            from {p}averaged a join {p}doc using ("sampleID")""",
+        f"{p}spectrum": f"""
+            select * from {p}whole_spectrum where "SUVA" is not null and not isnan("SUVA")""",
     }
 
 
 def _line(keys: str, source: str, band: str, value: str = '"SUVA"') -> str:
     low, high = {"275": (275, 295), "350": (350, 400)}[band]
-    y = f"case when {value} > 0 then ln({value}) end"
+    y = f"case when {value} > 0 and {value} < 'inf'::double then ln({value}) end"
     return f"""
         select {keys},
                case when regr_count({y}, wavelength) > 1
@@ -147,7 +156,8 @@ _METRIC_STEPS = {
     "sampled": """
         select a.*, "DOC", "Fe", absorbance / "DOC" * 100 as "SUVA"
         from averaged a join lab using ("sampleID")
-        where absorbance is not null and "DOC" is not null""",
+        where absorbance is not null and "DOC" is not null
+          and not isnan(absorbance / "DOC")""",
     "at254": """select "sampleID", "domainID", "siteID", "collectDate", "DOC",
                        "SUVA" as "SUVA254" from sampled where wavelength = 254""",
     "at350": """select "sampleID", "SUVA" as "SUVA350" from sampled
@@ -187,8 +197,9 @@ def _slopes(p: str) -> dict[str, str]:
 
 
 _COMPLETE_STEPS = {
-    "means": f"""select {_SITE_DATE}, wavelength, avg("SUVA") as "SUVA"
-                 from spectrum group by all""",
+    "means": f"""select {_SITE_DATE}, wavelength,
+                        avg("SUVA") filter (where not isnan("SUVA")) as "SUVA"
+                 from whole_spectrum group by all""",
     "gaps": f"""select distinct {_SITE_DATE} from
                 (select distinct {_SITE_DATE} from means) g
                 cross join (select distinct wavelength from means) w
@@ -197,8 +208,13 @@ _COMPLETE_STEPS = {
     "complete": f"""select means.* from means anti join gaps using ({_SITE_DATE})""",
     "complete_slopes": _ratio(_SITE_DATE, "complete"),
     "sites": _SITES,
-    "variation": """select "siteID", var_samp("Sr") as var, avg("Sr") as mean
-                    from complete_slopes group by "siteID" """,
+    "variation": """
+        select "siteID", case when count("Sr") = count(*) then var_samp("Sr") end as var,
+               case when count("Sr") = count(*) then avg("Sr") end as mean
+        from complete_slopes group by "siteID" """,
+    "known_slopes": """select * from complete_slopes where "Sr" is not null""",
+    "known_variation": """select "siteID", var_samp("Sr") as var, avg("Sr") as mean
+                          from known_slopes group by "siteID" """,
     "drivers": """select v.*, s.* exclude (site_id)
                   from variation v join sites s on v."siteID" = s.site_id
                   where site_type in ('Core Aquatic', 'Gradient Aquatic')""",
@@ -275,7 +291,10 @@ def _fit_steps(source: str, y: str, x: str, by: str = "") -> dict[str, str]:
                    regr_sxx(yy, xx) as sxx, regr_syy(yy, xx) as syy,
                    regr_sxy(yy, xx) as sxy
             from (select *, {y} as yy, {x} as xx from {source}
-                  where {y} is not null and {x} is not null) {group}""",
+                  where isfinite({y}) and isfinite({x})) {group}""",
+        "infinite": f"""
+            select {keys} count(*) filter (where isinf({y}) or isinf({x})) as nonfinite
+            from {source} where not isnan({y}) and not isnan({x}) {group}""",
         "spread": """
             select *, case when df > 0 then sqrt(rss / df) end as sigma
             from (select *, greatest(syy - case when sxx > 0 then sxy * sxy / sxx
@@ -287,7 +306,7 @@ def _fit_steps(source: str, y: str, x: str, by: str = "") -> dict[str, str]:
                        then mean_x * mean_x / sxx else 0 end) as se_intercept,
                    case when syy > 0 then 1 - rss / syy end as r_squared from spread""",
         "fit": f"""
-            select {keys} n, cast(0 as bigint) as nonfinite, df, intercept, slope,
+            select {keys} n, coalesce(nonfinite, 0) as nonfinite, df, intercept, slope,
                    se_intercept,
                    se_slope, intercept / se_intercept as t_intercept,
                    slope / se_slope as t_slope,
@@ -296,7 +315,7 @@ def _fit_steps(source: str, y: str, x: str, by: str = "") -> dict[str, str]:
                    r_squared, case when df > 0
                        then 1 - (1 - r_squared) * (n - 1) / df end as adj_r_squared,
                    slope / se_slope * slope / se_slope as f_statistic
-            from errors""",
+            from errors {f'left join infinite using ({by})' if by else 'cross join infinite'}""",
     }
 
 
@@ -304,7 +323,7 @@ def _band(source: str, y: str, x: str, by: str = "") -> tuple[dict[str, str], st
     """Confidence band on 80 points, the t quantile found by bisection."""
     keys = f"{by}, " if by else ""
     steps = _fit_steps(source, y, x, by)
-    del steps["errors"], steps["fit"]
+    del steps["errors"], steps["fit"], steps["infinite"]
     steps["bisect(df, lo, hi, k)"] = f"""
         select distinct df, 0e0, 64e0, 0 from spread where df > 0
         union all
@@ -343,7 +362,7 @@ def _box(by: str) -> str:
     return f"""
         select {by}, count(*) as n, quantile_cont("Sr", 0.25) as q1,
                quantile_cont("Sr", 0.5) as q2, quantile_cont("Sr", 0.75) as q3
-        from waters group by {by}"""
+        from waters where "Sr" is not null group by {by}"""
 
 
 _SPECTRUM_DOUBLES = "absorbance DOC SUVA"
@@ -359,6 +378,14 @@ _SITE_DOUBLES = (
     "latitude longitude watershed_size_km2 lake_depth_mean_m lake_depth_max_m"
 )
 
+_STATISTIC_DOUBLES = " ".join(f"mean{c} sd{c}" for c in ("DOC", "SUVA254", "SUVA350", "SR"))
+_STATISTICS = """
+    select "siteID", count(*) as "nSamples", """ + ", ".join(
+    f'case when count("{c}") = count(*) then avg("{c}") end as "mean{c}", '
+    f'case when count("{c}") = count(*) then stddev_samp("{c}") end as "sd{c}"'
+    for c in ("DOC", "SUVA254", "SUVA350", "SR")
+) + ' from metrics group by "siteID"'
+
 # name -> (subqueries, final select, columns of type double)
 _QUERIES: dict[str, tuple[dict[str, str], str, str]] = {
     "read_product": (_S, """
@@ -424,9 +451,9 @@ _QUERIES: dict[str, tuple[dict[str, str], str, str]] = {
     "complete_spectra": (_C, "select * from complete", "SUVA"),
     "spectra_wide": (_C, f"""
         select {_SITE_DATE}, """ + ", ".join(
-            f"""avg("SUVA") filter (where wavelength = {w}) as "{w}" """
-            for w in (250, 254, 280, 350, 364, 366)
-        ) + f"from spectrum group by {_SITE_DATE}", "250 254 280 350 364 366"),
+            f"""max("SUVA") filter (where wavelength = {w}) as "{w}" """
+            for w in range(200, 401, 2)
+        ) + f"from means group by {_SITE_DATE}", " ".join(map(str, range(200, 401, 2)))),
     "group_mean_on_rows": (_S, """
         select * replace (avg("SUVA") over
             (partition by "siteID", "collectDate", wavelength) as "SUVA")
@@ -444,18 +471,14 @@ _QUERIES: dict[str, tuple[dict[str, str], str, str]] = {
                    where wavelength in (364, 366) group by 1) y
              using ("sampleID")""", "E2E3"),
     "spectral_slope": (_S, f"""
-        select *, cast(0 as bigint) as nonfinite275
-        from ({_line('"sampleID"', 'spectrum', '275')}) x""", "intercept275 slope275"),
+        select * from ({_line('"sampleID"', 'spectrum', '275')}) x
+        join (select "sampleID", count(*) filter (where "SUVA" in (0, 'inf'::double)) as nonfinite275
+              from spectrum where wavelength between 275 and 295 group by "sampleID") y
+        using ("sampleID")""", "intercept275 slope275"),
     "slope_ratio": (_S, _ratio('"sampleID"', "spectrum", '"SR"'),
                     _SLOPE_DOUBLES.replace("Sr", "SR")),
     "sample_metrics": (_M, "select * from metrics", _METRIC_DOUBLES),
-    "site_statistics": (_M, """
-        select "siteID", count(*) as "nSamples", """ + ", ".join(
-            f'case when count("{c}") = count(*) then avg("{c}") end as "mean{c}", '
-            f'case when count("{c}") = count(*) then stddev_samp("{c}") end as "sd{c}"'
-            for c in ("DOC", "SUVA254", "SUVA350", "SR")
-        ) + ' from metrics group by "siteID"',
-        " ".join(f"mean{c} sd{c}" for c in ("DOC", "SUVA254", "SUVA350", "SR"))),
+    "site_statistics": (_M, _STATISTICS, _STATISTIC_DOUBLES),
     "fe_join": ({**_S, **_IRON_STEPS}, "select * from spectrum_with_iron",
                 _SPECTRUM_DOUBLES + " Fe"),
     "fe_corrected_spectrum": ({**_S, **_IRON_STEPS}, _corrected("spectrum_with_iron"),
@@ -476,12 +499,13 @@ _QUERIES: dict[str, tuple[dict[str, str], str, str]] = {
                        "Sr"),
     "site_variation": (_C, "select * from variation", "var mean"),
     "overall_variation": (_C, """
-        select var_samp("Sr") as overall_var, avg("Sr") as overall_mean
+        select case when count("Sr") = count(*) then var_samp("Sr") end as overall_var,
+               case when count("Sr") = count(*) then avg("Sr") end as overall_mean
         from complete_slopes""", "overall_var overall_mean"),
     "site_vs_overall": (_C, """
-        select *, (select var_samp("Sr") from complete_slopes) as overall_var,
-               (select avg("Sr") from complete_slopes) as overall_mean
-        from variation""", "var mean overall_var overall_mean"),
+        select *, (select var_samp("Sr") from known_slopes) as overall_var,
+               (select avg("Sr") from known_slopes) as overall_mean
+        from known_variation""", "var mean overall_var overall_mean"),
     "site_drivers": (_C, "select * from drivers", "var mean " + _SITE_DOUBLES),
     "driver_long": (_C, "select * from driver_rows", "var mean value"),
     "driver_fit": ({**_C, **_fit_steps("driver_rows", "mean", "value", "variable")},
@@ -496,7 +520,7 @@ _QUERIES: dict[str, tuple[dict[str, str], str, str]] = {
                count(*) filter (where not ("Sr" between q1 - 1.5 * (q3 - q1)
                                            and q3 + 1.5 * (q3 - q1))) as outliers
         from waters b join quartiles q on b."siteID" = q."siteID" and b.type = q.type
-        group by q."siteID", q.type, q.n, q1, q2, q3""",
+        where "Sr" is not null group by q."siteID", q.type, q.n, q1, q2, q3""",
         "ymin lower middle upper ymax"),
     "box_outliers": ({**_BOTH, "quartiles": _box("type")}, """
         select "siteID", "collectDate", type, "Sr" from waters join quartiles using (type)
@@ -507,18 +531,18 @@ _QUERIES: dict[str, tuple[dict[str, str], str, str]] = {
             select "siteID", count(*) as n, min("Sr") as one, stddev_samp("Sr") as sd,
                    (quantile_cont("Sr", 0.75) - quantile_cont("Sr", 0.25)) / 1.34e0
                        as robust
-            from complete_slopes group by "siteID" having count(*) > 1""",
+            from known_slopes group by "siteID" having count(*) > 1""",
         "widths": """
             select *, 0.9e0 * pow(n, -0.2e0) *
                 case when least(sd, robust) > 0 then least(sd, robust)
                      when sd > 0 then sd when one <> 0 then abs(one) else 1e0 end as bw
             from spreads""",
         "span": """select min("Sr") as lo, (max("Sr") - min("Sr")) / 511e0 as step
-                   from complete_slopes""",
+                   from known_slopes""",
         # each value weighs on the two grid points beside it
         "places": """
             select "siteID", case when step > 0 then least(("Sr" - lo) / step, 511e0) else 0e0 end
-                   as place from complete_slopes cross join span""",
+                   as place from known_slopes cross join span""",
         "weights": """
             select "siteID", k, sum(weight) as weight
             from (select "siteID", floor(place) as k, 1 - (place - floor(place)) as weight from places
@@ -538,13 +562,35 @@ _QUERIES: dict[str, tuple[dict[str, str], str, str]] = {
     "doc_fdom_fit": ({
         **_PAIR_STEPS, **_fit_steps("pairs", '"DOC"', '"fDOM"'),
         "residuals": """select "DOC" - intercept - slope * "fDOM" as r
-                        from pairs cross join line where "fDOM" is not null"""}, """
+                        from pairs cross join line where isfinite("fDOM")"""}, """
         select fit.*, f.* from fit cross join (
             select min(r) as residual_min, quantile_cont(r, 0.25) as residual_q1,
                    median(r) as residual_median, quantile_cont(r, 0.75) as residual_q3,
                    max(r) as residual_max from residuals) f""",
         _FIT_DOUBLES + " residual_min residual_q1 residual_median residual_q3"
         " residual_max"),
+    "doc_fdom_fit_by_site": ({
+        **_PAIR_STEPS, **_fit_steps("pairs", '"DOC"', '"fDOM"', '"siteID"'),
+        "residuals": """select "siteID", "DOC" - intercept - slope * "fDOM" as r
+                        from pairs join line using ("siteID") where isfinite("fDOM")"""}, """
+        select fit.*, f.* exclude ("siteID") from fit join (
+            select "siteID", min(r) as residual_min, quantile_cont(r, 0.25) as residual_q1,
+                   median(r) as residual_median, quantile_cont(r, 0.75) as residual_q3,
+                   max(r) as residual_max from residuals group by "siteID") f using ("siteID")""",
+        _FIT_DOUBLES + " residual_min residual_q1 residual_median residual_q3"
+        " residual_max"),
+    "read_sensor_product": (_PAIR_STEPS, """
+        select "siteID", "horizontalPosition", count(*) as readings,
+               count("rawCalibratedfDOM") as known, max("rawCalibratedfDOM") as top
+        from sensor where "siteID" in ('N2', 'N7') and "horizontalPosition" <> '112'
+        group by "siteID", "horizontalPosition" """, "top"),
+    "read_ground_product": (_steps("ground_"), """
+        select * from ground_spectrum where "siteID" = 'N3'""", _SPECTRUM_DOUBLES),
+    "site_doc_fdom": (_PAIR_STEPS, """
+        select * from pairs where "siteID" = 'N4'""", "DOC fDOM"),
+    "write_metrics": (_M, "select * from metrics", _METRIC_DOUBLES),
+    "write_statistics": (_M, _STATISTICS, _STATISTIC_DOUBLES),
+    "write_corrected": (_M, "select * from corrected", _CORRECTED_DOUBLES),
 }
 
 
@@ -560,8 +606,11 @@ _add_band("variation_log_band", _C, "drivers", "log10(var)", "log10(mean)")
 _add_band("doc_fdom_band", _PAIR_STEPS, "pairs", '"DOC"', '"fDOM"')
 
 
-def rounded(decimals: int) -> dict[str, str]:
-    """Complete statements, every double rounded and without negative zero."""
+def rounded(digits: dict[str, int], default: int, floor: str) -> dict[str, str]:
+    """Complete statements, every double with so many significant digits, below the floor zero.
+
+    ``digits`` names queries with other than the ``default`` number.
+    """
     found = {}
     for name, (steps, final, doubles) in _QUERIES.items():
         named = ",\n".join(
@@ -569,8 +618,11 @@ def rounded(decimals: int) -> dict[str, str]:
             f"{step} as {'' if '(' in step else 'materialized '}({sql})"
             for step, sql in steps.items()
         )
+        places = digits.get(name, default) - 1
         replaced = ", ".join(
-            f'round("{c}", {decimals}) + 0e0 as "{c}"' for c in doubles.split()
+            f"""case when abs("{c}") < {floor} then 0e0
+                     else cast(printf('%.{places}e', "{c}") as double) end as "{c}" """
+            for c in doubles.split()
         )
         columns = f"* replace ({replaced})" if replaced else "*"
         found[name] = (

@@ -71,6 +71,13 @@ def ieee_div(a: str, b: str) -> Column:
              when ({a}) > 0 then {INFINITY} else -{INFINITY} end""")
 
 
+def ieee_ln(value: str) -> Column:
+    """Natural logarithm: minus infinity for 0, NaN below; Spark's own gives NULL for both."""
+    return F.expr(f"""
+        case when ({value}) = 0 then -{INFINITY} when ({value}) < 0 then double('NaN')
+             else ln({value}) end""")
+
+
 def drop_incomplete(df: DataFrame, subset: Iterable[str] | None = None) -> DataFrame:
     """Keep rows with no missing value in ``subset`` (default: all columns).
 

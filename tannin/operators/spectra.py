@@ -8,13 +8,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tannin.functions.missing import (
-    drop_incomplete, ieee_div, known, nan_to_null, strict_avg,
+    drop_incomplete, ieee_div, ieee_ln, known, nan_to_null, strict_avg,
 )
 from tannin.operators.merging import merge_tables
+from tannin.sources.sinks import store
 
 SAMPLE_ATTRIBUTES = ("domainID", "siteID", "collectDate")
 SITE_DATE = ("siteID", "collectDate")
 
+# Most columns of a wide spectrum.
+WIDEST = 10_000
+
 
 def average_replicates(
     scan: DataFrame, attributes: Sequence[str] = SAMPLE_ATTRIBUTES, check: bool = True
@@ -176,15 +180,24 @@ def complete_spectra(
 
 
 def spectra_wide(
-    spectrum: DataFrame, wavelengths: Iterable[float],
+    spectrum: DataFrame, wavelengths: Iterable[float] | None = None,
     keys: Sequence[str] = SITE_DATE,
 ) -> DataFrame:
-    """One row per group, one column of mean SUVA per listed wavelength."""
-    return (
-        spectrum.groupBy(*keys)
-        .pivot("wavelength", list(wavelengths))
-        .agg(F.avg(nan_to_null("SUVA")))
-    )
+    """One row per group, one column of mean SUVA per wavelength, in ascending order.
+
+    Without a list the columns are all wavelengths that occur.  They are found
+    in a distributed pass over the mean spectra, which are stored for it, and
+    are at most ``WIDEST``, since columns must be known before a query runs.
+    """
+    means = mean_spectra(spectrum, keys).where(F.col("wavelength").isNotNull())
+    if wavelengths is None:
+        means = store(means, "means")
+        found = means.select("wavelength").distinct().limit(WIDEST + 1).collect()
+        if len(found) > WIDEST:
+            raise ValueError(f"more than {WIDEST} wavelengths")
+        wavelengths = sorted(r["wavelength"] for r in found)
+    # one row per group and wavelength
+    return means.groupBy(*keys).pivot("wavelength", list(wavelengths)).agg(F.max("SUVA"))
 
 
 def group_mean_on_rows(
@@ -209,9 +222,9 @@ def spectrum_series(
 ) -> DataFrame:
     """Points of the spectrum lines, per group in wavelength order.
 
-    Points outside the limits are left out; ``log`` gives ln(SUVA).
+    Points outside the limits are left out; ``log`` gives ln(SUVA), of 0 minus infinity.
     """
-    value = F.ln("SUVA") if log else F.col("SUVA")
+    value = ieee_ln("SUVA") if log else F.col("SUVA")
     series = spectrum.select(*group, "wavelength", value.alias("SUVA"))
     if x_limits is not None:
         series = series.where(F.col("wavelength").between(*x_limits))

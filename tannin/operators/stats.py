@@ -335,10 +335,9 @@ def linear_fit(df: DataFrame, y: str, x: str, by: Sequence[str] = ()) -> DataFra
 
 def fit_summary(df: DataFrame, y: str, x: str, by: Sequence[str] = ()) -> DataFrame:
     """``linear_fit`` with the five-number summary of the residuals."""
+    # infinite pairs are kept: the fit counts them, and they have no finite residual
     pairs = store(
-        df.where(is_finite(y) & is_finite(x)).select(
-            *by, F.col(y).cast("double").alias(y), F.col(x).cast("double").alias(x)
-        ), "pairs"
+        df.select(*by, nan_to_null(y).alias(y), nan_to_null(x).alias(x)).dropna(subset=[y, x]), "pairs"
     )
     fit = store(linear_fit(pairs, y, x, by), "fit")
     line = fit.select(*by, "intercept", "slope")

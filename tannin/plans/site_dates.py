@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tannin.functions.missing import (
-    drop_incomplete, strict_avg, strict_variance,
+    drop_incomplete, ieee_ln, strict_avg, strict_variance,
 )
 from tannin.functions.parsing import as_number, parse_number
 from tannin.operators.merging import merge_tables
@@ -119,7 +119,7 @@ def _driver(name: str) -> Column:
     if name in ("mean_evelation_m", "mean_annual_precipitation_mm"):
         return as_number(name)
     if name == "watershed_size_km2":
-        return F.ln(name)
+        return ieee_ln(name)
     return F.col(name).cast("double")
 
 

@@ -3,6 +3,10 @@
 The test data holds no spectra, so the registered queries see these
 projections of it.  None of them joins or aggregates: like a real scan table,
 each source row is already one measurement with its sample's attributes.
+
+They are as unclean as real ones: some samples were not scanned at 254 nm, some
+absorbances are missing or zero, some DOC analyses are repeated, missing or
+zero, and a sensor now and then reports an infinite value.
 """
 
 from __future__ import annotations
@@ -21,7 +25,9 @@ def _is_type(key: str, water: str | None) -> str:
 
 def scan(spark: SparkSession, sf_dir: str, water: str | None = None) -> DataFrame:
     """Absorbance readings: one sample per supplier, 101 wavelengths."""
-    lines = table(spark, sf_dir, "lineitem").where(_is_type("l_suppkey", water))
+    lines = table(spark, sf_dir, "lineitem").where(_is_type("l_suppkey", water)).where(
+        "not (l_suppkey % 17 = 5 and l_partkey % 101 = 27)"  # 254 nm
+    )
     return lines.selectExpr(
         "concat('S', l_suppkey) as sampleID",
         "concat('D', l_suppkey % 5) as domainID",
@@ -30,20 +36,25 @@ def scan(spark: SparkSession, sf_dir: str, water: str | None = None) -> DataFram
                 as timestamp_ntz) as collectDate""",
         "200 + 2 * (l_partkey % 101) as wavelength",
         "if(l_linenumber % 2 = 0, 'A', 'B') as replicate",
-        """case when l_orderkey % 997 <> 0
+        """case when l_suppkey % 23 = 7 and l_partkey % 101 = 38 then 0d
+                when l_orderkey % 997 <> 0
                 then exp(-0.015d * (2 * (l_partkey % 101))) * (0.5d + l_quantity / 100)
            end as decadicAbsorbance""",
     )
 
 
 def chem(spark: SparkSession, sf_dir: str, water: str | None = None) -> DataFrame:
-    """Analyses per supplier: DOC for ten in eleven, iron for six in seven."""
+    """Analyses per supplier: DOC for ten in eleven, iron for six in seven, some DOC twice."""
     suppliers = table(spark, sf_dir, "supplier").where(_is_type("s_suppkey", water))
     return suppliers.selectExpr(
         "concat('S', s_suppkey) as sampleID",
         """inline(array(
-            struct('DOC' as analyte, 1d + abs(s_acctbal) / 1000 as analyteConcentration,
+            struct('DOC' as analyte,
+                   if(s_suppkey % 47 = 6, 0d, 1d + abs(s_acctbal) / 1000) as analyteConcentration,
                    s_suppkey % 11 <> 3 as present),
+            struct('DOC' as analyte,
+                   if(s_suppkey % 2 = 0, null, 1.25d + abs(s_acctbal) / 1000) as analyteConcentration,
+                   s_suppkey % 13 = 4 as present),
             struct('Fe' as analyte, s_suppkey % 13 / 50d as analyteConcentration,
                    s_suppkey % 7 <> 0 as present)))""",
     ).where("present").drop("present")
@@ -85,5 +96,6 @@ def sensor(spark: SparkSession, sf_dir: str) -> DataFrame:
         "ts as startDateTime", "concat('N', user_id % 10) as siteID",
         """case event_id % 4 when 0 then '102' when 1 then '112' when 2 then '103'
                 else '101' end as horizontalPosition""",
-        "if(event_id % 50 <> 0, value, null) as rawCalibratedfDOM",
+        """case when event_id % 499 = 7 then double('Infinity')
+                when event_id % 50 <> 0 then value end as rawCalibratedfDOM""",
     )

@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tannin.operators.merging import merge_tables
 
 CSV_TIME = "yyyy-MM-dd HH:mm:ss[.SSSSSS]"
 
@@ -42,19 +46,63 @@ def write_table(
 def write_clustered(
     df: DataFrame, table: str, keys: Iterable[str], buckets: int, mode: str = "error"
 ) -> None:
-    """Store a table bucketed and sorted by ``keys``.
+    """Store a table bucketed and sorted by ``keys``; hot keys apart, in salted buckets.
 
     Scans and analyte tables stored this way by ``sampleID`` are averaged,
     joined and summarised per sample without any shuffle.  All rows of one key
-    lie in one bucket: leave tables with a hot key unbucketed, then averages
-    are combined per task before they are shuffled.
+    lie in one bucket, so a key with more rows than a bucket's share would
+    make one task as large as itself.  Rows of such keys, of which there are
+    fewer than buckets, go to a second table, bucketed by the keys and a salt
+    that deals them out evenly: whatever is computed per key is there combined
+    per task, and the partial results are merged after a shuffle.
+    ``read_clustered`` gives both, ``per_cluster`` computes on both.
     """
     keys = list(keys)
+    spark = df.sparkSession
+    stored = store(df, "clustered")
+    share = max(1, -(-stored.count() // buckets))
+    counts = stored.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    # fewer than ``buckets`` rows, since each key holds more than such a part of all
+    hot = store(counts.where(F.col("_n") > share).withColumnRenamed("_n", "_hot"), "hot")
+    marked = merge_tables(stored, F.broadcast(hot), keys, "left", null_safe=True)
+    kept = marked.where(F.col("_hot").isNull()).select(*df.columns)
+    _write_buckets(kept, table, keys, buckets, mode)
+    if hot.isEmpty():
+        if mode == "overwrite":
+            spark.sql(f"drop table if exists {_hot_table(table)}")
+        return
+    # a seeded draw: equal rows are dealt out as well
+    salt = F.floor(F.rand(SALT_SEED) * F.ceil(F.col("_hot") / share)).cast("int")
+    salted = marked.where(F.col("_hot").isNotNull()).withColumn(SALT, salt).select(*df.columns, SALT)
+    _write_buckets(salted, _hot_table(table), [*keys, SALT], buckets, mode)
+
+
+SALT, SALT_SEED = "_salt", 42
+
+
+def _hot_table(table: str) -> str:
+    return f"{table}_hot"
+
+
+def _write_buckets(df: DataFrame, table: str, keys: list[str], buckets: int, mode: str) -> None:
     # one task per bucket, so one file per bucket
     df.repartition(buckets, *keys).write.format("parquet").mode(mode).bucketBy(buckets, *keys).sortBy(*keys) \
         .saveAsTable(table)
 
 
+def read_clustered(spark: SparkSession, table: str) -> list[DataFrame]:
+    """The parts of a clustered table, each with all rows of its keys: the bucketed one and, if any, the salted one."""
+    parts = [spark.table(table)]
+    if spark.catalog.tableExists(_hot_table(table)):
+        parts.append(spark.table(_hot_table(table)).drop(SALT))
+    return parts
+
+
+def per_cluster(parts: Iterable[DataFrame], query: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """A query whose rows each depend on one key only, over all parts of a clustered table."""
+    return reduce(DataFrame.unionByName, map(query, parts))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder for intermediate data.
 

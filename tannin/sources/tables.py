@@ -164,6 +164,11 @@ def read_sites(spark: SparkSession, path: str) -> DataFrame:
     return _typed(_read_csv(spark, path), schemas.SITES, optional)
 
 
+def read_result(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """A result table that ``write_table`` has written as CSV, with its types."""
+    return _typed(_read_csv(spark, path), schema)
+
+
 def read_csv_dir(
     spark: SparkSession,
     paths: str | Iterable[str],

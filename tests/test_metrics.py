@@ -301,6 +301,39 @@ def test_clustered_tables_need_no_shuffle(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_hot_sample_in_clustered_tables(spark):
+    """A sample with most of the readings: no bucket beyond its share, the same metrics."""
+    many = [r for r in exponential("hot") for _ in range(40)]
+    others = list(itertools.chain.from_iterable(exponential(f"s{n}") for n in range(12)))
+    readings = scan(spark, many + others)
+    lab = chem(spark, ("hot", "DOC", 1.0), *((f"s{n}", "DOC", 1.0 + n) for n in range(12)))
+    buckets = 8
+    sinks.write_clustered(readings, "salted_scan", ["sampleID"], buckets, mode="overwrite")
+    sinks.write_clustered(lab, "salted_lab", ["sampleID"], buckets, mode="overwrite")
+    main, hot = sinks.read_clustered(spark, "salted_scan")
+    assert {r.sampleID for r in hot.select("sampleID").distinct().collect()} == {"hot"}
+    share = (len(many) + len(others)) / buckets
+    for part in (spark.table("salted_scan"), spark.table("salted_scan_hot")):
+        sizes = [r["count"] for r in part.groupBy(F.input_file_name()).count().collect()]
+        assert max(sizes) <= 2 * share
+    # equal readings are dealt out as well
+    assert spark.table("salted_scan_hot").select("_salt").distinct().count() > 4
+    [lab_part] = sinks.read_clustered(spark, "salted_lab")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert "Exchange" not in plan(metrics.sample_metrics(main, lab_part))
+        got = sinks.per_cluster([main, hot], lambda part: metrics.sample_metrics(part, lab_part)).collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    expected = {r.sampleID: r for r in metrics.sample_metrics(readings, lab).collect()}
+    assert len(got) == len(expected) == 13
+    for row in got:
+        assert row.asDict() == pytest.approx(expected[row.sampleID].asDict(), rel=1e-12)
+    # written again without a hot sample, the second table goes
+    sinks.write_clustered(scan(spark, others), "salted_scan", ["sampleID"], buckets, mode="overwrite")
+    assert len(sinks.read_clustered(spark, "salted_scan")) == 1
+
+
 def test_dates_may_differ_between_samples(spark):
     a = scan(spark, exponential("s"))
     b = scan(spark, exponential("t"), site="B", day=DAY + timedelta(days=3))
