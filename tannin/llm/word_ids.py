@@ -40,23 +40,41 @@ class IdStore:
 class WordIds:
     """Ids of words, remembered for up to ``max_words`` words.
 
-    Words beyond that start the memory anew, so it is bounded; no result depends on it.
+    When that is reached, words that were asked for only once are forgotten, and more of
+    them if those that are left exceed half of the room.  So the memory is bounded, and
+    common words are not encoded again; no result depends on it.
     """
 
-    def __init__(self, tokenizer, max_words: int = 400_000):
+    def __init__(self, tokenizer, max_words: int = 1_000_000):
         self.tokenizer, self.max_words = tokenizer, max_words
         suffix = tokenizer.model.end_of_word_suffix or ""
         vocabulary = tokenizer.get_vocab()
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends_word[[i for t, i in vocabulary.items() if suffix and t.endswith(suffix)]] = True
-        self.forget()
-
-    def forget(self) -> None:
         self.slots: dict[str, int] = {}
+        self.of_words = IdStore()
+        self.asked = np.zeros(0, np.int32)  # how often, by slot
+        self._forget_parts()
+
+    def _forget_parts(self) -> None:
         self.parts: dict[str, int] = {"": 0}
-        self.of_words, self.of_parts = IdStore(), IdStore()
+        self.of_parts = IdStore()
         self.of_parts.append([], [0])
 
+    def forget(self) -> None:
+        """Keep the words asked for most often, no more than half of the room."""
+        least = 2
+        while np.count_nonzero(self.asked >= least) > self.max_words // 2:
+            least *= 2
+        kept = np.flatnonzero(self.asked >= least)
+        names = list(self.slots)
+        ids, counts = self.of_words.gather(kept)
+        self.slots = {names[k]: slot for slot, k in enumerate(kept.tolist())}
+        self.of_words = IdStore()
+        self.of_words.append(ids, counts)
+        self.asked = np.zeros(len(kept), np.int32)
+        self._forget_parts()
+
     def slots_of(self, words: pa.Array) -> np.ndarray:
         """The place of each distinct word in ``of_words``; new words are encoded."""
         words = words.to_numpy(zero_copy_only=False)
@@ -67,7 +85,9 @@ class WordIds:
         if fresh:
             self._encode(fresh)
             found = map(self.slots.__getitem__, words)
-        return np.fromiter(found, np.int64, len(words))
+        found = np.fromiter(found, np.int64, len(words))
+        self.asked[found] += 1
+        return found
 
     def lengths(self, slots: np.ndarray) -> np.ndarray:
         return self.of_words.counts(slots)
@@ -101,6 +121,7 @@ class WordIds:
         ids, counts = self.of_parts.gather(parts)
         self.slots.update(zip(words, range(len(self.slots), len(self.slots) + len(words))))
         self.of_words.append(ids, counts[0::2] + counts[1::2])
+        self.asked = np.concatenate([self.asked, np.zeros(len(words), np.int32)])
 
     def _add_parts(self, parts: list[str], ids, counts) -> None:
         self.parts.update(zip(parts, range(len(self.parts), len(self.parts) + len(parts))))

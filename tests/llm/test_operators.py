@@ -59,6 +59,18 @@ def by_id(df):
 
 # --- words and tokens -------------------------------------------------------
 
+def test_forgotten_words_are_encoded_alike():
+    coder = word_ids(PATH)
+    small = type(coder)(coder.tokenizer, max_words=40)
+    random = np.random.default_rng(4)
+    for _ in range(60):
+        words_ = sorted({f"{'sea' * int(i % 3)}tide{i}." for i in random.zipf(1.3, 12) % 5000} | {"the"})
+        ids, counts = small.gather(small.slots_of(pa.array(words_)))
+        assert len(small.slots) == len(small.asked) <= 40
+        expected = [coder.tokenizer.encode(w, add_special_tokens=False).ids for w in words_]
+        assert counts.tolist() == list(map(len, expected)) and ids.tolist() == [i for e in expected for i in e]
+
+
 @given(st.lists(st.one_of(st.none(), st.text(" \t\n\x0b\x0c\rab\x1cé\u00a0", max_size=12)), max_size=6))
 @settings(max_examples=60, deadline=None)
 def test_split_words(texts):
