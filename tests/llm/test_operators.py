@@ -239,6 +239,42 @@ def test_pitman_yor_sums_and_counts(spark, docs, none):
     assert pitman_yor.score_texts(none).count() == 0
 
 
+def test_scores_do_not_depend_on_the_partitions(spark):
+    random = np.random.default_rng(3)
+    rows = [(i, " ".join(f"w{k}" for k in random.zipf(1.4, 60) % 90)) for i in range(200)]
+    rows += [(300, "again " * 700), (301, "again " * 700)]
+    found = []
+    for partitions in (1, 7):
+        table = spark.createDataFrame(rows, "doc_id long, text string").repartition(partitions)
+        found.append({r["doc_id"]: r["score"] for r in pitman_yor.score_texts(table, contexts=5, parts=3).collect()})
+    assert found[0] == pytest.approx(found[1], rel=1e-12)
+
+
+def test_probabilities_after_each_context_sum_to_one():
+    random = np.random.default_rng(5)
+    pairs = collections.Counter(zip((random.zipf(1.5, 4000) % 40).tolist(), (random.zipf(1.7, 4000) % 4).tolist()))
+    dishes = sorted({(w, c) for w in range(40) for c in range(4)})
+    words_, contexts = (np.array(x) for x in zip(*dishes))
+    part = pitman_yor.Part(words_, contexts, np.array([pairs[d] for d in dishes]))
+    vocabulary = int((part.word_count > 0).sum())
+    customers = np.bincount(contexts, part.learned, 4)
+    tables = np.bincount(contexts, part.learned > 0, 4).astype(float)
+    customers[0] += tables[1:].sum()
+    tables[0] = vocabulary
+    shared = pitman_yor.Globals(customers, tables, vocabulary, 4000, (0.6, 0.7))
+    for tables, served, root in pitman_yor._states(part, shared, random, 2, 3):
+        own = customers.copy()
+        own[0] = served.sum()
+        by_context = np.bincount(contexts, tables, 4)
+        by_context[0] = root.sum()
+        state = pitman_yor.Globals(own, by_context, vocabulary, 4000, shared.discounts)
+        at_root = state.at_root(served, root)
+        found = state.after(contexts, part.learned, tables, at_root[words_])
+        seen = part.word_count[words_] > 0
+        unknown = state.after(np.arange(4), np.zeros(4), np.zeros(4), np.full(4, state.unknown))
+        assert np.bincount(contexts[seen], found[seen], 4) + unknown == pytest.approx(np.ones(4))
+
+
 def test_seatings_follow_the_restaurant():
     """Means of tables against the exact weights of partitions, and customers kept."""
     d, weight, customers = 0.6, 0.8, 5
