@@ -44,18 +44,19 @@ def write_table(
 
 
 def write_clustered(
-    df: DataFrame, table: str, keys: Iterable[str], buckets: int, mode: str = "error"
+    df: DataFrame, table: str, keys: Iterable[str], buckets: int, mode: str = "error",
+    most_rows: int = 1_000_000,
 ) -> None:
     """Store a table bucketed and sorted by ``keys``; hot keys apart, in salted buckets.
 
     Scans and analyte tables stored this way by ``sampleID`` are averaged,
     joined and summarised per sample without any shuffle.  All rows of one key
-    lie in one bucket, so a key with more rows than a bucket's share would
-    make one task as large as itself.  Rows of such keys, of which there are
-    fewer than buckets, go to a second table, bucketed by the keys and a salt
-    that deals them out evenly: whatever is computed per key is there combined
-    per task, and the partial results are merged after a shuffle.
-    ``read_clustered`` gives both, ``per_cluster`` computes on both.
+    lie in one bucket, so a key with more rows than a bucket's share makes one
+    task as large as itself.  If these are more than ``most_rows`` too, they
+    go to a second table, bucketed by the keys and a salt that deals them out
+    evenly: whatever is computed per key is there combined per task, and the
+    partial results are merged after a shuffle.  ``read_clustered`` gives
+    both, ``per_cluster`` computes on both.
     """
     keys = list(keys)
     spark = df.sparkSession
@@ -63,7 +64,7 @@ def write_clustered(
     share = max(1, -(-stored.count() // buckets))
     counts = stored.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     # fewer than ``buckets`` rows, since each key holds more than such a part of all
-    hot = store(counts.where(F.col("_n") > share).withColumnRenamed("_n", "_hot"), "hot")
+    hot = store(counts.where(F.col("_n") > max(share, most_rows)).withColumnRenamed("_n", "_hot"), "hot")
     marked = merge_tables(stored, F.broadcast(hot), keys, "left", null_safe=True)
     kept = marked.where(F.col("_hot").isNull()).select(*df.columns)
     _write_buckets(kept, table, keys, buckets, mode)
@@ -71,13 +72,13 @@ def write_clustered(
         if mode == "overwrite":
             spark.sql(f"drop table if exists {_hot_table(table)}")
         return
-    # a seeded draw: equal rows are dealt out as well
-    salt = F.floor(F.rand(SALT_SEED) * F.ceil(F.col("_hot") / share)).cast("int")
+    # a seeded draw, so equal rows are dealt out as well; several salts per share, as some meet in one bucket
+    salt = F.floor(F.rand(SALT_SEED) * SALTS * F.ceil(F.col("_hot") / share)).cast("int")
     salted = marked.where(F.col("_hot").isNotNull()).withColumn(SALT, salt).select(*df.columns, SALT)
     _write_buckets(salted, _hot_table(table), [*keys, SALT], buckets, mode)
 
 
-SALT, SALT_SEED = "_salt", 42
+SALT, SALT_SEED, SALTS = "_salt", 42, 16
 
 
 def _hot_table(table: str) -> str:

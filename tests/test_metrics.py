@@ -4,6 +4,7 @@ import random
 from datetime import timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from helpers import DAY, chem, exponential, one, plan, scan
 from tannin.operators.slopes import slope_ratio
@@ -57,7 +58,7 @@ def test_zero_doc_and_missing_absorbance(spark):
 
 @pytest.mark.parametrize("wavelength", [254, 350, 366, 280])
 def test_conflicting_attributes_raise(spark, wavelength):
-    clash = scan(spark, [("s", wavelength, 0.1, "A"), ("s", wavelength, 0.1, "B")])
+    clash = scan(spark, [("s", wavelength, 0.1, "A"), ("s", wavelength, 0.1, "B"), ("s", 254, 0.1, "A")])
     with pytest.raises(Exception, match="attributes differ"):
         metrics.sample_metrics(clash, chem(spark, ("s", "DOC", 1.0))).collect()
 
@@ -308,8 +309,8 @@ def test_hot_sample_in_clustered_tables(spark):
     readings = scan(spark, many + others)
     lab = chem(spark, ("hot", "DOC", 1.0), *((f"s{n}", "DOC", 1.0 + n) for n in range(12)))
     buckets = 8
-    sinks.write_clustered(readings, "salted_scan", ["sampleID"], buckets, mode="overwrite")
-    sinks.write_clustered(lab, "salted_lab", ["sampleID"], buckets, mode="overwrite")
+    sinks.write_clustered(readings, "salted_scan", ["sampleID"], buckets, mode="overwrite", most_rows=100)
+    sinks.write_clustered(lab, "salted_lab", ["sampleID"], buckets, mode="overwrite", most_rows=100)
     main, hot = sinks.read_clustered(spark, "salted_scan")
     assert {r.sampleID for r in hot.select("sampleID").distinct().collect()} == {"hot"}
     share = (len(many) + len(others)) / buckets
@@ -330,7 +331,7 @@ def test_hot_sample_in_clustered_tables(spark):
     for row in got:
         assert row.asDict() == pytest.approx(expected[row.sampleID].asDict(), rel=1e-12)
     # written again without a hot sample, the second table goes
-    sinks.write_clustered(scan(spark, others), "salted_scan", ["sampleID"], buckets, mode="overwrite")
+    sinks.write_clustered(scan(spark, others), "salted_scan", ["sampleID"], buckets, mode="overwrite", most_rows=100)
     assert len(sinks.read_clustered(spark, "salted_scan")) == 1
 
 

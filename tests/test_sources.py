@@ -219,9 +219,16 @@ def reading(seconds, value, site="A", position="102"):
     return DAY + timedelta(seconds=seconds), site, position, value
 
 
-@pytest.mark.parametrize("bound", [10**6, 1])
-def test_pairing(spark, monkeypatch, bound):
-    monkeypatch.setattr(doc_fdom, "BROADCAST_COLLECTIONS", bound)
+@pytest.mark.parametrize("bound", ["10m", "-1"])
+def test_pairing(spark, bound):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", bound)
+    try:
+        check_pairing(spark)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def check_pairing(spark):
     lab = spark.createDataFrame([
         grab(10, 1.0), grab(10, 3.0), grab(20, 5.0), grab(700, 7.0), grab(1200, 8.0),
         grab(1200, None), (None, "A", "D", "DOC", 4.0), grab(10, 9.0, analyte="Fe"), grab(10, 6.0, site="B")], GRAB)
@@ -269,8 +276,16 @@ def test_pairing_shuffles_only_matching_readings(spark):
     lab = spark.createDataFrame([grab(10, 1.0)], GRAB)
     sensor = spark.createDataFrame([reading(0, 1.0), reading(9000, 2.0)], SENSOR)
     tree = plan(doc_fdom.pair_doc_fdom(lab, sensor)).split("\n\n")[0]
-    semi = tree.index("LeftSemi")
-    assert "BroadcastHashJoin LeftOuter" in tree[:semi]
-    # below the semi join the readings are only filtered and projected
+    # below the semi join, which Spark has moved under the average, the readings are only filtered
+    semi = tree.index("BroadcastHashJoin LeftSemi")
+    assert "HashAggregate" in tree[:semi]
     readings_side = tree[semi:].splitlines()[1:5]
     assert not any(line.lstrip(" :").startswith("+- Exchange") for line in readings_side)
+    # without a broadcast the readings are averaged first, and only means are shuffled again
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        tree = plan(doc_fdom.pair_doc_fdom(lab, sensor)).split("\n\n")[0]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "HashAggregate" in tree[tree.index("LeftSemi"):]
+    assert "Generate" not in tree
