@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from tannin.sources import sinks
 
-TABLES, HASHES, PROBES = 5, 5, 20
+TABLES, HASHES, PROBES = 6, 5, 20
 #: Width of a hash cell, in units of the largest norm.
 WIDTH = 2.0
 #: Vectors of a bucket that one task compares; larger buckets are split.

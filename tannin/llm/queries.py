@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tannin import ship
 from tannin.llm import (
     bpe, filter_audit, lexical, mixing, nearest, pitman_yor, pu_quality, quality, simhash, token_counts,
     token_store, toxicity, url_filter,
@@ -18,6 +19,7 @@ TOKENIZER = "word_bpe_49k.json"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)  # the operators' functions run in workers that may not have the package
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -1,8 +1,10 @@
 """The registered queries and the pipeline on the smallest data."""
 
-import hashlib
 import os
+import subprocess
+import sys
 
+import numpy as np
 import pytest
 
 import __spark_entry__ as entry
@@ -32,6 +34,42 @@ def test_query_has_a_row_per_document(spark, name):
     assert sorted(ids) == sorted(r["doc_id"] for r in queries.table(spark, FOLDER, "documents").collect())
 
 
+@pytest.mark.parametrize("folder", ["sf0.01", "sf0.1"])
+def test_recall_of_neighbours(spark, folder):
+    folder = f"/root/testdata/{folder}"
+    if not os.path.isdir(folder):
+        pytest.skip("no test data")
+    rows = queries.table(spark, folder, "embeddings").select("vec_id", "embedding").toPandas()
+    ids, vectors = rows["vec_id"].to_numpy(), np.stack(rows["embedding"]).astype(float)
+    asked = ids % 20 == 0
+    scores = vectors[asked] @ vectors.T
+    scores[ids[asked][:, None] == ids] = -np.inf
+    nearest = ids[np.argsort(-scores, axis=1, kind="stable")[:, :20]]
+    exact = {(q, v) for q, near in zip(ids[asked].tolist(), nearest.tolist()) for v in near}
+    found = queries.op3_nearest(spark, folder).collect()
+    assert len({(r["query_id"], r["rank"]) for r in found}) == len(found) == len(exact)
+    assert len({(r["query_id"], r["vec_id"]) for r in found} & exact) >= 0.92 * len(exact)
+
+
+def test_workers_get_the_package(tmp_path):
+    """From another folder, without the repository on the workers' path."""
+    code = (
+        "import sys; sys.path.insert(0, sys.argv[1])\n"
+        "from pyspark.sql import SparkSession\n"
+        "import __spark_entry__ as entry\n"
+        "spark = SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false').getOrCreate()\n"
+        "print(entry.queries()['op9_token_counts'](spark, sys.argv[2]).count())\n")
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    if "public_tokenizers" not in sys.modules:
+        pytest.skip("no tokenizers")
+    env["PYTHONPATH"] = os.path.dirname(os.path.dirname(os.path.abspath(sys.modules["public_tokenizers"].__file__)))
+    repo = os.path.dirname(os.path.abspath(entry.__file__))
+    done = subprocess.run([sys.executable, "-c", code, repo, FOLDER], cwd=tmp_path, env=env, timeout=300,
+                          capture_output=True, text=True)
+    assert done.returncode == 0, done.stderr[-2000:]
+    assert int(done.stdout.split()[-1]) > 0
+
+
 def test_pipeline(spark):
     docs = queries.table(spark, FOLDER, "documents")
     columns = docs.columns
