@@ -304,10 +304,34 @@ def test_seatings_follow_the_restaurant():
         seating.sweep(np.full(4000, weight))
         means.append(seating.tables.mean())
     assert np.mean(means[2:]) == pytest.approx(exact, abs=0.03)
-    large = pitman_yor.Seating(np.array([1, 0, 500, 90]), d, np.random.default_rng(1))
+    large = pitman_yor.Seating(np.array([1, 0, 5000, 90]), d, np.random.default_rng(1))
     large.seat(np.full(4, weight))
     large.sweep(np.full(4, weight))
-    assert large.tables[:2].tolist() == [1, 0] and [s.sum() for s in large.sizes.values()] == [500, 90]
+    assert large.tables[:2].tolist() == [1, 0] and [s.sum() for s in large.sizes.values()] == [5000]
+    assert 1 <= large.tables[3] <= 90
+
+
+def test_numbers_of_tables_have_their_exact_distribution():
+    """Against a walk over all seatings, one customer after another."""
+    for d, weight, customers in ((0.6, 0.8, 6), (0.3, 5.0, 9), (0.9, 0.05, 7)):
+        mass = np.zeros(customers + 1)
+
+        def walk(sizes, left, product):
+            if not left:
+                mass[len(sizes)] += product
+                return
+            for i, k in enumerate(sizes):
+                walk((*sizes[:i], k + 1, *sizes[i + 1:]), left - 1, product * (k - d))
+            walk((*sizes, 1), left - 1, product * weight)
+
+        walk((), customers, 1.0)
+        exact = mass / mass.sum()
+        ways = pitman_yor.log_ways(d)[customers, :customers + 1]
+        shares = np.exp(ways + np.log(weight) * np.arange(customers + 1))
+        assert shares / shares.sum() == pytest.approx(exact, abs=1e-12)
+        seating = pitman_yor.Seating(np.full(20_000, customers), d, np.random.default_rng(2))
+        seating.seat(np.full(20_000, weight))
+        assert np.bincount(seating.tables, minlength=customers + 1) / 20_000 == pytest.approx(exact, abs=0.015)
 
 
 # --- neighbours -------------------------------------------------------------
