@@ -256,8 +256,8 @@ def _parsed_times(spark, d):
 # --- spectra ----------------------------------------------------------------
 
 def _e2_e3(spark, d):
-    averaged = spectra.average_replicates(given.scan(spark, d))
-    return metrics.e2_e3(drop_incomplete(averaged))
+    # of samples with DOC, as the other metrics; analyses are averaged to keep one row per wavelength
+    return metrics.e2_e3(spectra.suva_spectrum(*_inputs(spark, d), doc_replicates="mean"))
 
 
 def _fe_joined(spark, d):
@@ -287,10 +287,10 @@ QUERIES: dict[str, Query] = {
     "read_product": _read_product,
     "register_tables": _register_tables,
     "table_by_pattern": _table_by_pattern,
-    "site_filter": lambda s, d: sources.site_filter(
-        _metrics(s, d), ["N2", "N5"]).select("sampleID", "siteID", "SR"),
-    "month_range_filter": lambda s, d: sources.month_range_filter(
-        _metrics(s, d), "2023-11", "2024-01", "collectDate"),
+    "site_filter": lambda s, d: spectra.average_replicates(
+        sources.site_filter(given.scan(s, d), ["N2", "N5"])),
+    "month_range_filter": lambda s, d: spectra.average_replicates(
+        sources.month_range_filter(given.scan(s, d), "2023-11", "2024-01", "collectDate")),
     "read_sites": _read_sites,
     "read_csv_dir": _read_csv_dir,
     "write_table": _write_table,

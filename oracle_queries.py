@@ -399,12 +399,10 @@ _QUERIES: dict[str, tuple[dict[str, str], str, str]] = {
         select "siteID", analyte, count(*) as readings
         from scan join chem using ("sampleID") group by all""", ""),
     "table_by_pattern": (_S, "select * from chem", "analyteConcentration"),
-    "site_filter": (_M, """select "sampleID", "siteID", "SR" from metrics
-                           where "siteID" in ('N2', 'N5')""", "SR"),
-    "month_range_filter": (_M, """
-        select * from metrics where date_trunc('month', "collectDate")
-            between timestamp '2023-11-01' and timestamp '2024-01-01'""",
-        _METRIC_DOUBLES),
+    "site_filter": (_S, """select * from averaged where "siteID" in ('N2', 'N5')""", "absorbance"),
+    "month_range_filter": (_S, """
+        select * from averaged where date_trunc('month', "collectDate")
+            between timestamp '2023-11-01' and timestamp '2024-01-01'""", "absorbance"),
     "read_sites": ({"sites": _SITES}, "select * from sites", _SITE_DOUBLES),
     "read_csv_dir": (
         {**_steps("surface_"), **_steps("ground_")}, """
@@ -464,12 +462,7 @@ _QUERIES: dict[str, tuple[dict[str, str], str, str]] = {
     "log_spectrum_series": (_S, """
         select "siteID", "sampleID", wavelength, ln("SUVA") as "SUVA"
         from spectrum""", "SUVA"),
-    "e2_e3": ({**_S, "clean": "select * from averaged where absorbance is not null"}, """
-        select "sampleID", x.absorbance / y.absorbance as "E2E3"
-        from (select "sampleID", absorbance from clean where wavelength = 250) x
-        full join (select "sampleID", avg(absorbance) as absorbance from clean
-                   where wavelength in (364, 366) group by 1) y
-             using ("sampleID")""", "E2E3"),
+    "e2_e3": (_M, """select "sampleID", "E2E3" from e2e3""", "E2E3"),
     "spectral_slope": (_S, f"""
         select * from ({_line('"sampleID"', 'spectrum', '275')}) x
         join (select "sampleID", count(*) filter (where "SUVA" in (0, 'inf'::double)) as nonfinite275
