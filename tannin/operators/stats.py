@@ -103,14 +103,13 @@ def _quantiles(
         )
 
     wanted = F.array(*(target(i, p, upper) for i, p in enumerate(probs) for upper in (False, True)))
-    brackets = summary.select(*by, F.explode(wanted).alias("t")).select(*by, _settled("t"))
-    found, still = [], store(brackets, "brackets")
-    while True:
+    still = summary.select(*by, F.explode(wanted).alias("t")).select(*by, _settled("t"))
+    found, left = [], True
+    while left:
         found.append(still.where("t.low = t.high"))
-        still = still.where("t.low < t.high")
-        if still.isEmpty():
-            break
-        still = store(_narrowed(rows, still, value, by), "brackets")
+        still = store(_narrowed(rows, still.where("t.low < t.high"), value, by), "brackets")
+        left = not still.where("t.low < t.high").isEmpty()
+    found.append(still)
     settled = reduce(DataFrame.union, found).groupBy(*by).agg(*(
         F.max(F.when(F.col("t.i") == i, F.col("t.low"))).alias(f"v{i}") for i in range(2 * len(probs))
     ))
@@ -174,7 +173,7 @@ def box_stats(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
     box.  Non-finite values take no part.
     """
     rows = store(_finite(df, value, by), "values")
-    quartiles = store(exact_quantiles(rows, value, QUARTILES, by), "quartiles")
+    quartiles = exact_quantiles(rows, value, QUARTILES, by)
     inner = F.when(_within_fences(value), F.col(value))
     return _join_groups(rows, quartiles, by).groupBy(*by, "n", "q0", "q1", "q2").agg(
         F.min(inner).alias("low"), F.max(inner).alias("high"),
@@ -190,7 +189,7 @@ def box_stats(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
 def box_outliers(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
     """The rows of ``df`` that lie outside the whiskers of their group."""
     rows = store(_finite(df, value, by, *df.columns), "values")
-    box = store(exact_quantiles(rows, value, QUARTILES, by), "quartiles")
+    box = exact_quantiles(rows, value, QUARTILES, by)
     return _join_groups(rows, box, by).where(~_within_fences(value)).select(*df.columns)
 
 
