@@ -10,7 +10,7 @@ import pytest
 import __spark_entry__ as entry
 import check_oracle
 import corpus_pipeline
-from tannin.llm import queries
+from tannin.llm import quality, queries
 
 FOLDER = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test data")
@@ -34,6 +34,32 @@ def test_query_has_a_row_per_document(spark, name):
     assert sorted(ids) == sorted(r["doc_id"] for r in queries.table(spark, FOLDER, "documents").collect())
 
 
+#: The base columns of the quality rules; the verdict of the model is none of SQL's.
+BASE_SQL = r"""
+    with texts as (select doc_id, coalesce(text, '') as text from documents),
+    listed as (select doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as words from texts),
+    places as (select doc_id, words, unnest(range(1, len(words) + 1)) as i from listed),
+    windows as (select doc_id, i, count(*) over (partition by doc_id, words[i], words[i + 1], words[i + 2]) as n
+                from places where i + 2 <= len(words)),
+    covered as (select doc_id, count(distinct i + k) as n from windows cross join range(3) r(k) where n > 1
+                group by doc_id),
+    lines as (select doc_id, unnest(string_split(text, chr(10))) as line from texts),
+    repeated as (select doc_id, count(*) - count(distinct line) as n from lines
+                 where regexp_matches(line, '[^\x20\x09-\x0D]') group by doc_id)
+    select doc_id, len(words) as n_words, coalesce(list_sum(list_transform(words, lambda w: length(w))), 0) as word_chars,
+           length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) as n_symbols, coalesce(r.n, 0) as n_dup_lines,
+           coalesce(c.n, 0) as n_repeat_words,
+           len(words) < 50 or 100 * coalesce(c.n, 0) > 50 * len(words) as base_failed
+    from listed left join covered c using (doc_id) left join repeated r using (doc_id)"""
+
+
+def test_base_columns_equal_sql(spark):
+    names = ["doc_id", *quality.COUNTS, "base_failed"]
+    found = queries.op5_quality(spark, FOLDER).select(*names).collect()
+    expected = check_oracle.connect(FOLDER).execute(BASE_SQL).df()[names]
+    assert sorted(map(tuple, found)) == sorted(expected.itertuples(index=False, name=None))
+
+
 @pytest.mark.parametrize("folder", ["sf0.01", "sf0.1"])
 def test_recall_of_neighbours(spark, folder):
     folder = f"/root/testdata/{folder}"
