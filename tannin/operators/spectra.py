@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -42,15 +44,16 @@ def average_replicates(
 def one_per_key(groups: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The rows themselves; a key with several of them raises when it is computed.
 
-    For aggregates that carry more grouping columns than the key: each set of
+    Rows that lack a part of the key belong to nothing and may be several.  For aggregates that carry more grouping columns than the key: each set of
     values is one row, so the window holds no more than the sets of one key.
     No input is read twice, and filters on the key pass through to the scan.
     """
-    text = F.concat_ws(" ", *(F.coalesce(F.col(k).cast("string"), F.lit("NULL")) for k in keys))
+    text = F.concat_ws(" ", *(F.col(k).cast("string") for k in keys))
     several = F.raise_error(F.concat(F.lit(f"attributes differ within {' '.join(keys)}: "), text))
+    known = reduce(and_, (F.col(k).isNotNull() for k in keys))
     counted = groups.withColumn("_rows", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
     # the filter on the count cannot move below it
-    alone = F.when(F.col("_rows") > 1, several.cast("boolean")).otherwise(F.lit(True))
+    alone = F.when((F.col("_rows") > 1) & known, several.cast("boolean")).otherwise(F.lit(True))
     return counted.where(alone).drop("_rows")
 
 

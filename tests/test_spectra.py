@@ -28,8 +28,10 @@ def test_average_is_a_hash_aggregate(spark):
 
 
 def test_two_sites_in_one_sample_raise(spark):
-    clash = scan(spark, [("s", 350, 0.1, "A"), ("s", 350, 0.1, "B"), ("t", 254, 0.1), (None, 254, 0.1)])
+    clash = scan(spark, [("s", 350, 0.1, "A"), ("s", 350, 0.1, "B"), ("t", 254, 0.1),
+                         (None, 254, 0.1, "A"), (None, 254, 0.1, "B")])
     lab = chem(spark, ("s", "DOC", 2.0), ("t", "DOC", 2.0))
+    assert spectra.average_replicates(clash.where("sampleID is null")).count() == 2
     with pytest.raises(Exception, match="attributes differ within sampleID wavelength: s 350"):
         spectra.suva_spectrum(clash, lab).collect()
     # the restriction reaches the scan, and what it leaves has one site
