@@ -18,6 +18,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,7 +33,7 @@ THRESHOLD = 0.7
 #: Words whose own score a worker remembers.
 MAX_KNOWN = 400_000
 ROUNDS, RATE, PENALTY = 60, 0.7, 1e-4
-BATCH_BYTES = 3 << 20
+BATCH_BYTES = 1 << 20
 _WORD = re.compile(WORD)
 
 
@@ -193,14 +194,17 @@ def fit_tagger(texts: Sequence[str], labels: Sequence[int]) -> Tagger:
     sizes = np.diff(words.offsets)
     doc = np.repeat(np.arange(len(labels)), sizes)
 
-    # features of each distinct word as numbers, one word after another
-    names: dict[str, int] = {}
-    flat, counts = array("i"), []
+    # features of each distinct word as numbers, one word after another; only their hashes are
+    # held, as the names of all are many times larger than the texts
+    hashes, counts = array("Q"), []
     for word in distinct.to_pylist():
         found = features(word)
         counts.append(len(found))
-        flat.extend(names.setdefault(f, len(names)) for f in found)
-    flat, ends = np.frombuffer(flat, np.int32) if flat else np.zeros(0, np.int32), np.cumsum([0, *counts])
+        hashes.extend(map(xxhash.xxh64_intdigest, found))
+    every_hash = np.frombuffer(hashes, np.uint64) if hashes else np.zeros(0, np.uint64)
+    names, flat = np.unique(every_hash, return_inverse=True)
+    del hashes, every_hash
+    flat, ends = flat.astype(np.int32), np.cumsum([0, *counts])
 
     def features_of(kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The features of words, and for each of them the place of its word in ``kinds``."""
@@ -256,8 +260,15 @@ def fit_tagger(texts: Sequence[str], labels: Sequence[int]) -> Tagger:
 
     start_at = np.zeros(len(used) + 6)
     fitted = _descend(gradient, start_at, ROUNDS, RATE) if len(of) else start_at
-    weight_of = dict(zip(used.tolist(), fitted[:-6].tolist()))
-    weights = {f: weight_of[i] for f, i in names.items() if abs(weight_of.get(i, 0.0)) > 1e-6}
+    # names are made again for the features that have a weight
+    weighing = np.flatnonzero(np.abs(fitted[:-6]) > 1e-6)
+    weight_of = dict(zip(names[used[weighing]].tolist(), fitted[weighing].tolist()))
+    weights = {}
+    for word in distinct.take(pa.array(kinds)).to_pylist():
+        for f in features(word):
+            weight = weight_of.get(xxhash.xxh64_intdigest(f))
+            if weight is not None:
+                weights[f] = weight
     tagger = Tagger(weights, fitted[-6:-4], fitted[-4:].reshape(2, 2), np.zeros(3))
 
     # the document score, on the same documents
@@ -294,8 +305,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS) -> Tagger:
     chosen = found.select("doc_id").distinct().orderBy(order, "doc_id").limit(max_docs)
     sample = found.join(F.broadcast(chosen), "doc_id", "left_semi") \
         .groupBy("doc_id").agg(F.max(F.struct("text", "toxic")).alias("v")).select("doc_id", "v.*")
-    rows = sample.toPandas().sort_values("doc_id")
-    return fit_tagger(rows["text"].tolist(), rows["toxic"].tolist())
+    rows = sample.toArrow().sort_by("doc_id")
+    return fit_tagger(rows.column("text").to_pylist(), rows.column("toxic").to_pylist())
 
 
 SPANS = T.ArrayType(T.StructType([
