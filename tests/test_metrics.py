@@ -1,11 +1,14 @@
+import functools
 import itertools
 import math
 import random
-from datetime import timedelta
+from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from helpers import DAY, chem, exponential, one, plan, scan
 from tannin.operators.slopes import slope_ratio
 from tannin.operators.spectra import suva_spectrum
@@ -359,3 +362,25 @@ def test_shuffles_of_the_metrics(spark):
     assert tree.count("Exchange") == 3
     above_join = tree.split("SortMergeJoin")[0]
     assert "Exchange" not in above_join
+
+
+@pytest.mark.parametrize("name, columns, kept", [
+    ("site_filter", ["sampleID", "siteID", "SR"], lambda r: r["siteID"] in ("N2", "N5")),
+    ("month_range_filter", None, lambda r: datetime(2023, 11, 1) <= r["collectDate"] < datetime(2024, 2, 1)),
+])
+def test_source_filters_take_finished_metrics(spark, monkeypatch, name, columns, kept):
+    """The registered queries compute the metrics of all samples and keep whole rows of them."""
+    days = {"a": ("N2", 10, 31), "b": ("N5", 11, 1), "c": ("N3", 1, 31), "d": (None, 2, 1)}
+    readings = [scan(spark, exponential(s, 0.01 + 0.001 * k), site, datetime(2024 if month < 3 else 2023, month, day))
+                for k, (s, (site, month, day)) in enumerate(days.items())]
+    lab = chem(spark, *((s, "DOC", 2.0) for s in days))
+    tables = lambda s, d, water=None: (functools.reduce(DataFrame.union, readings), lab)
+    monkeypatch.setattr(entry, "_inputs", tables)
+    monkeypatch.setattr(entry.given, "scan", lambda *_: tables(*_)[0])
+    metrics_ = entry.QUERIES["sample_metrics"](spark, "")
+    found = entry.QUERIES[name](spark, "")
+    names = columns or metrics_.columns
+    assert found.columns == names
+    rows = [r for r in metrics_.collect() if kept(r)]
+    assert len(rows) == 2
+    assert sorted(map(str, found.collect())) == sorted(str(Row(**{c: r[c] for c in names})) for r in rows)
