@@ -250,6 +250,49 @@ def test_scores_do_not_depend_on_the_partitions(spark):
     assert found[0] == pytest.approx(found[1], rel=1e-12)
 
 
+def held_out_ids(n):
+    return [i for i in range(100, 100 + 10 * n) if zlib.crc32(str(i).encode()) % 5 == 1][:n]
+
+
+def trained_ids(n):
+    return [i for i in range(100, 100 + 10 * n) if zlib.crc32(str(i).encode()) % 5 != 1][:n]
+
+
+@pytest.mark.parametrize("contexts", [0, 2, 100])
+def test_every_context_has_its_restaurant(spark, contexts):
+    """Of words that occur once no seating is drawn, so the scores are known, however few contexts all parts know."""
+    learned = "a b c d e f".split()
+    texts = ["b c", "c b", "f", "e f new f", "new", "", None, "a b c d e f"]
+    rows = [(trained_ids(1)[0], " ".join(learned)), *zip(held_out_ids(len(texts)), texts)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r["doc_id"]: r for r in pitman_yor.score_texts(table, contexts=contexts, parts=3).collect()}
+    chain = ["start", *learned, "end"]
+    seen, v, d = set(zip(chain, chain[1:])), len(learned) + 1, 0.95
+    base = (1 + d * v) / (v + 1)
+    root = lambda w: ((1 - d) * (w in chain) + base) / (1 + v)
+
+    def after(u, w):
+        if u not in chain:
+            return root(w)
+        return ((1 - d) * ((u, w) in seen) + (1 + d) * root(w)) / 2
+
+    for i, text in rows:
+        tokens = ["start", *(text or "").split(), "end"]
+        assert found[i]["score"] == pytest.approx(sum(math.log10(after(*pair)) for pair in zip(tokens, tokens[1:])))
+    assert found[rows[0][0]]["train_tokens"] == v
+
+
+def test_few_contexts_in_every_part_change_no_more_than_the_draws(spark):
+    random = np.random.default_rng(4)
+    pairs = lambda: " ".join(f"u{k} w{(7 * k + random.integers(2)) % 60}" for k in random.integers(0, 60, 40))
+    ids = trained_ids(150) + held_out_ids(30)
+    table = spark.createDataFrame([(i, pairs()) for i in ids], "doc_id long, text string")
+    few, many = ({r["doc_id"]: r for r in pitman_yor.score_texts(table, contexts=c, parts=3).collect()} for c in (4, 500))
+    for i in held_out_ids(30):
+        assert few[i]["score"] == pytest.approx(many[i]["score"], rel=0.02)
+        assert few[i]["score"] > 0.75 * few[i]["base_score"]
+
+
 def test_probabilities_after_each_context_sum_to_one():
     random = np.random.default_rng(5)
     pairs = collections.Counter(zip((random.zipf(1.5, 4000) % 40).tolist(), (random.zipf(1.7, 4000) % 4).tolist()))
