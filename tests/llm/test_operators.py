@@ -5,7 +5,9 @@ import hashlib
 import itertools
 import math
 import re
+import tracemalloc
 import zlib
+from unittest import mock
 
 import numpy as np
 import public_tokenizers
@@ -15,6 +17,7 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
 from tannin.llm import (
@@ -250,6 +253,27 @@ def test_scores_do_not_depend_on_the_partitions(spark):
     assert found[0] == pytest.approx(found[1], rel=1e-12)
 
 
+def test_packing_holds_few_bytes_per_token(monkeypatch):
+    """A block's arrays, without the texts and Arrow's own memory."""
+    class Docs:
+        schema = T.StructType([T.StructField("doc_id", T.LongType())])
+        select = lambda self, *_: self
+        mapInArrow = lambda self, run, _: run
+
+    monkeypatch.setattr(pitman_yor, "TaskContext", mock.MagicMock(get=lambda: mock.MagicMock(partitionId=lambda: 3)))
+    random = np.random.default_rng(6)
+    texts = [" ".join(f"w{k}" for k in random.zipf(1.3, 1000) % 3000) for _ in range(300)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": range(300), "text": texts, "train": [i % 5 > 0 for i in range(300)]})
+    run = pitman_yor._pack(Docs(), [f"w{k}" for k in range(1, 500)], 6)
+    tracemalloc.start()
+    packed = sum(len(r["place"]) // 2 for out in run(iter([batch])) for r in out.to_pylist())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    chains = [["", *t.split(), "\n"] for t in texts]
+    assert packed == len({(i, *pair) for i, chain in enumerate(chains) for pair in zip(chain, chain[1:])})
+    assert peak < 55 * sum(len(chain) - 1 for chain in chains)
+
+
 def held_out_ids(n):
     return [i for i in range(100, 100 + 10 * n) if zlib.crc32(str(i).encode()) % 5 == 1][:n]
 
