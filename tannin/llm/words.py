@@ -5,6 +5,7 @@ A word is a maximal run of characters other than space and U+0009 to U+000D.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -89,13 +90,19 @@ def sliced(batches: Iterable[pa.RecordBatch], text: str, max_bytes: int) -> Iter
             yield batch.slice(start, stop - start)
 
 
+# glibc only; numpy's arrays lie in malloc's memory
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
 def tidy(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The same batches; at their end Arrow's free memory goes back to the system.
+    """The same batches; at their end the free memory of Arrow and of malloc goes back to the system.
 
     Workers are kept between tasks, and what one holds unused is missing to the next stage.
     """
     yield from batches
     pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
 
 
 def segment_sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
