@@ -1,10 +1,7 @@
 """Quality rules: repetition and length, and bands of n-gram perplexity per language.
 
-The n-grams are of characters, folded to 128 symbols, so a model of order 3 has at most
-128^3 = 2,097,152 n-grams however large the corpus is: it may be gathered and broadcast.
-(Word n-grams grow with the corpus, and rare words dominate their perplexity.)  Spark
-counts the n-grams of all documents; the modified Kneser-Ney probabilities and back-off
-weights lie in arrays sorted by a 64-bit hash of the n-gram.
+The n-grams are pairs of words (``word_grams``).  ``grams`` and ``KneserNey`` are a model of
+characters folded to 128 symbols, which no query uses.
 """
 
 from __future__ import annotations
@@ -148,27 +145,6 @@ def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(start, stop - start)
 
 
-def gram_counts(docs: DataFrame) -> DataFrame:
-    """How often each n-gram occurs in all texts: gram, n.  Counted in tasks first."""
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << (BITS * ORDER), np.int64)
-        for batch in _batches(batches):
-            codes, _ = grams(batch.column("_text"))
-            total += np.bincount(codes, minlength=len(total))
-        found = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(found, pa.int32()), pa.array(total[found])], ["gram", "n"])
-
-    counted = docs.select(text_column().alias("_text")).mapInArrow(count, "gram int, n long")
-    return counted.groupBy("gram").agg(F.sum("n").alias("n"))
-
-
-def fit(docs: DataFrame) -> KneserNey:
-    """The model of all documents; at most 128^3 counts come to the driver."""
-    found = gram_counts(docs).toPandas().sort_values("gram")
-    return KneserNey.of_counts(found["gram"].to_numpy(np.int64), found["n"].to_numpy(np.int64))
-
-
 def repeats(index: np.ndarray, doc: np.ndarray, size: int, window: int = 3) -> np.ndarray:
     """Whether each word lies in a window of words that its text has twice or more."""
     covered = np.zeros(len(index), bool)
