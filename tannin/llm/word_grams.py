@@ -11,6 +11,10 @@ frequent contexts are summed up for all.  How many contexts a word follows is su
 shuffle between the parts, and each part gets back the numbers of the words that it holds.
 With these every part has the probabilities of its pairs and sums their logarithms by text.
 Texts are named by 128-bit digests, since equal texts have equal probabilities.
+
+What is stored is mostly names of words.  A name is the first bits of a word's 64-bit hash; a
+pass before finds the words that share these, which get names of their own, and how many bits
+leave only some of them.
 """
 
 from __future__ import annotations
@@ -38,6 +42,10 @@ BLOCK_BYTES = 16 << 20
 PARTS = 4
 #: Sums by document that a task holds at most, about.
 MOST_SUMS = 4_000_000
+#: Bits of a name, and how many words may share theirs, about; more than ``GROUP_BITS``, by which words meet.
+WIDTHS, MOST_SHARED, GROUP_BITS = (28, 32, 40, 48), 1 << 18, 20
+#: Packing tasks for each core: each writes a file per bucket.
+PACKING = 4
 
 
 def digests(texts: pa.Array) -> list[bytes]:
@@ -93,21 +101,32 @@ class Frequent:
     """Slots of the most frequent words, from 1; the end and the start have the one after."""
 
     slots: dict[str, int]
+    bits: int  # of the names of words
+    shared: np.ndarray  # ascending hashes of the words that are numbered apart
 
     def __post_init__(self):
         self.last = len(self.slots) + 1
         self.staying = min(len(self.slots), STAYING)
-        hashes = np.array([word_hash(w) for w in self.slots] or [0], np.uint64)
-        order = np.argsort(hashes)
-        self.hashes, self.of_hash = hashes[order], np.array(list(self.slots.values()) or [0])[order]
+        names = self.named(list(self.slots)) if self.slots else np.zeros(1, np.uint64)
+        order = np.argsort(names)
+        self.names, self.of_name = names[order], np.array(list(self.slots.values()) or [0])[order]
+
+    def named(self, words: list[str]) -> np.ndarray:
+        """The name of each word: first bits of its hash, or a number above all those."""
+        hashes = np.array([word_hash(w) for w in words], np.uint64)
+        names = hashes >> np.uint64(64 - self.bits)
+        if len(self.shared):
+            at = np.minimum(np.searchsorted(self.shared, hashes), len(self.shared) - 1)
+            names = np.where(self.shared[at] == hashes, np.uint64(1 << self.bits) + at.astype(np.uint64), names)
+        return names
 
     def of_names(self, names: list[str]) -> np.ndarray:
         """Slots of names and of the start, 0 for others."""
         return np.array([self.slots.get(w, 0) for w in names[:-1]] + [self.last] * 2, np.int32)
 
-    def of_hashes(self, hashes: np.ndarray) -> np.ndarray:
-        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == hashes, self.of_hash[at], 0)
+    def slots_of(self, names: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(self.names, names), len(self.names) - 1)
+        return np.where(self.names[at] == names, self.of_name[at], 0)
 
     def stays(self, slot: np.ndarray) -> np.ndarray:
         return ((slot > 0) & (slot <= self.staying)) | (slot == self.last)
@@ -122,21 +141,61 @@ class Frequent:
 
 
 def frequent_words(docs: DataFrame, top: int) -> Frequent:
-    """About the most frequent words: no result depends on which they are, but for rounding.
+    """About the most frequent words, and how words are named: no result depends on either, but for rounding.
 
-    A block brings its ``2 * top`` most frequent words only.
+    A block brings its ``2 * top`` most frequent words only, but the hashes of all.
     """
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    groups = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    most_shared = max(2, MOST_SHARED // groups)
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in tidy(batches):
             for a, b in byte_slices(batch.column("_text"), BLOCK_BYTES):
                 words, index = split_words(batch.column("_text").slice(a, b - a)).distinct()
                 n = np.bincount(index, minlength=len(words))
+                hashes = np.array([word_hash(w) for w in words.to_pylist()], np.uint64)
+                to = ((hashes >> np.uint64(64 - GROUP_BITS)) % np.uint64(groups)).astype(np.int32)
                 most = np.argsort(-n, kind="stable")[:2 * top]
-                yield pa.RecordBatch.from_arrays([words.cast(pa.string()).take(pa.array(most)), pa.array(n[most])], ["word", "n"])
-
-    counted = docs.select("_text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    rows = counted.orderBy(F.desc("n"), "word").limit(top).collect()
-    return Frequent({r["word"]: k for k, r in enumerate(rows, 1)})
+                most = most[np.argsort(to[most], kind="stable")]
+                order = np.lexsort((hashes, to))
+                every = np.arange(groups + 1)
+                cuts, offsets = np.searchsorted(to[order], every), np.searchsorted(to[most], every)
+                hashes = hashes[order]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(every[:-1].astype(np.int32)),
+                     pa.array([_tight(np.diff(hashes[lo:hi], prepend=np.uint64(0)), "<u8") for lo, hi in zip(cuts, cuts[1:])], pa.binary()),
+                     _lists(offsets, words.take(pa.array(most)), pa.string()), _lists(offsets, n[most], pa.int64())],
+                    ["to", "hashes", "words", "n"])
+
+    def meet(table: pa.Table) -> pa.Table:
+        """The most frequent words of those that meet here, and for each width the hashes with the same first bits."""
+        table = table.combine_chunks()
+        hashes = np.unique(np.concatenate([
+            np.cumsum(_loose(h, "<u8"), dtype=np.uint64) for h in table.column("hashes").to_pylist()]))
+        shared = []
+        for bits in WIDTHS:
+            equal = np.diff(hashes >> np.uint64(64 - bits)) == 0
+            same = hashes[np.append(equal, False) | np.insert(equal, 0, False)] if len(hashes) else hashes
+            shared.append(same.astype("<u8").tobytes() if len(same) <= most_shared else None)
+        counted = pa.table({c: table.column(c).combine_chunks().flatten() for c in ("words", "n")}) \
+            .group_by("words").aggregate([("n", "sum")]).sort_by([("n_sum", "descending"), ("words", "ascending")]).slice(0, top)
+        none = len(counted), len(WIDTHS)
+        return pa.table({
+            "word": pa.concat_arrays([counted.column("words").combine_chunks(), pa.nulls(none[1], pa.string())]),
+            "n": pa.concat_arrays([counted.column("n_sum").combine_chunks(), pa.nulls(none[1], pa.int64())]),
+            "bits": pa.concat_arrays([pa.nulls(none[0], pa.int32()), pa.array(WIDTHS, pa.int32())]),
+            "shared": pa.concat_arrays([pa.nulls(none[0], pa.binary()), pa.array(shared, pa.binary())])})
+
+    sent = docs.select("_text").mapInArrow(send, "to int, hashes binary, words array<string>, n array<long>")
+    found = _stored(sent.groupBy("to").applyInArrow(meet, "word string, n long, bits int, shared binary"), "words")
+    rows = found.filter("word is not null").orderBy(F.desc("n"), "word").limit(top).collect()
+    # a bounded number: groups with too many leave them out, and the width with them
+    widths = found.filter("bits is not null").groupBy("bits") \
+        .agg(F.collect_list("shared").alias("shared"), F.count(F.lit(1)).alias("groups")) \
+        .filter(F.size("shared") == F.col("groups")).orderBy("bits").limit(1).collect()
+    bits = widths[0]["bits"] if widths else 64
+    shared = np.sort(np.frombuffer(b"".join(widths[0]["shared"]) if widths else b"", "<u8"))
+    return Frequent({r["word"]: k for k, r in enumerate(rows, 1)}, bits, shared)
 
 
 _FIELDS = ("owners", "sizes", "other", "rare", "place", "count", "more")
@@ -148,7 +207,7 @@ def _pack(docs: DataFrame, frequent: Frequent, parts: int) -> DataFrame:
     """A row per block, part and kind of owner: where ``follows``, the owner is the word after.
 
     An entry is (owner, other word, document of the block, count).  Others that are frequent
-    are slots, the rest hashes in ``rare``, one for each run of entries of the same pair.  Rows
+    are slots, the rest names in ``rare``, one for each run of entries of the same pair.  Rows
     below 0 have the digests of a block's texts, or of a task the counts of the matrix.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,12 +226,14 @@ def _pack(docs: DataFrame, frequent: Frequent, parts: int) -> DataFrame:
             _PACKED)
 
     def block(texts: pa.Array, number: int, aside: int, matrix: np.ndarray) -> Iterator[pa.RecordBatch]:
+        # long texts first: most entries then have small numbers, which compress better
+        texts = texts.take(pa.array(np.argsort(-pc.binary_length(texts).to_numpy(zero_copy_only=False), kind="stable")))
         yield pa.RecordBatch.from_pylist([{"part": aside, "block": number, "owners": b"".join(digests(texts))}], _PACKED)
         names, token, before, offsets = chains(texts)
         n, slot = len(texts), frequent.of_names(names)
-        hashes = np.array([word_hash(w) for w in names], np.uint64)
-        own = (hashes % np.uint64(parts)).astype(np.int64)
-        by_own = np.lexsort((hashes, own))
+        named = frequent.named(names)
+        own = (named % np.uint64(parts)).astype(np.int64)
+        by_own = np.lexsort((named, own))
         rank = np.empty(len(names), np.int32)
         rank[by_own] = np.arange(len(names))
         place = np.repeat(np.arange(n, dtype=np.uint16), np.diff(offsets))
@@ -192,7 +253,7 @@ def _pack(docs: DataFrame, frequent: Frequent, parts: int) -> DataFrame:
             del keys
             apart = others > frequent.last
             heads = np.flatnonzero(first & apart)
-            rare = hashes[others[heads] - frequent.last - 1]
+            rare = named[others[heads] - frequent.last - 1]
             others[apart] = AGAIN
             others[heads] = APART
             cuts = np.flatnonzero(np.diff(own[by_own[held]], prepend=-1))
@@ -202,9 +263,9 @@ def _pack(docs: DataFrame, frequent: Frequent, parts: int) -> DataFrame:
                 small, more = _small(counts[lo:hi])
                 yield pa.RecordBatch.from_pylist([{
                     "part": int(own[which[0]]), "block": number, "follows": follows,
-                    "owners": _tight(np.diff(hashes[which], prepend=np.uint64(0)), "<u8"),
+                    "owners": _tight(np.diff(named[which] // np.uint64(parts), prepend=np.uint64(0)), "<u8"),
                     "sizes": _tight(size, "<u4"), "other": _tight(others[lo:hi], "<u2"), "place": _tight(at[lo:hi], "<u2"),
-                    "rare": rare[slice(*np.searchsorted(heads, (lo, hi)))].tobytes(),
+                    "rare": _tight(rare[slice(*np.searchsorted(heads, (lo, hi)))], "<u8"),
                     "count": _tight(np.frombuffer(small, np.uint8), "u1"), "more": more}], _PACKED)
 
     return docs.select("_text").mapInArrow(run, _PACKED_SQL)
@@ -213,19 +274,20 @@ def _pack(docs: DataFrame, frequent: Frequent, parts: int) -> DataFrame:
 class Pairs:
     """Different pairs of the rows of a part with one kind of owner, and their entries."""
 
-    def __init__(self, rows: list[dict], last: int):
+    def __init__(self, rows: list[dict], number: int, last: int, parts: int):
         none = [np.zeros(0, np.uint64)]
-        owners = [np.cumsum(_loose(r["owners"], "<u8"), dtype=np.uint64) for r in rows]
+        owners = [np.cumsum(_loose(r["owners"], "<u8"), dtype=np.uint64) * np.uint64(parts) + np.uint64(number) for r in rows]
+        rare = [_loose(r["rare"], "<u8") for r in rows]
         self.owners = np.unique(np.concatenate(none + owners))
-        self.rare = np.unique(np.concatenate(none + [np.frombuffer(r["rare"], "<u8") for r in rows]))
+        self.rare = np.unique(np.concatenate(none + rare))
         keys, counts, self.entries = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], []
-        for r, owned in zip(rows, owners):
+        for r, owned, named in zip(rows, owners, rare):
             owner = np.repeat(np.searchsorted(self.owners, owned), _loose(r["sizes"], "<u4"))
             other = _loose(r["other"], "<u2").astype(np.int64)
             which = np.cumsum(other == APART) - 1
             apart = (other == APART) | (other == AGAIN)
             if apart.any():
-                other[apart] = last + 1 + np.searchsorted(self.rare, np.frombuffer(r["rare"], "<u8"))[which[apart]]
+                other[apart] = last + 1 + np.searchsorted(self.rare, named)[which[apart]]
             key, count = owner << 32 | other, _counts(_loose(r["count"], "u1").tobytes(), r["more"])
             first = np.flatnonzero(np.diff(key, prepend=-1))
             keys.append(key[first])
@@ -247,29 +309,30 @@ class Pairs:
 class Part:
     """All pairs of a part: after its own contexts, and its own words after frequent contexts."""
 
-    def __init__(self, rows: list[dict], frequent: Frequent, parts: int):
-        last = frequent.last
-        self.after, self.follows = (Pairs([r for r in rows if r["follows"] == kind], last) for kind in (False, True))
-        self.slot = frequent.of_hashes(self.follows.owners)
+    def __init__(self, row: dict, frequent: Frequent, parts: int):
+        last, rows = frequent.last, sorted(row["rows"], key=lambda r: r["block"])
+        self.after, self.follows = (
+            Pairs([r for r in rows if r["follows"] == kind], row["part"], last, parts) for kind in (False, True))
+        self.slot = frequent.slots_of(self.follows.owners)
         own = self.follows.owners[self.slot == 0]
-        hashes = np.unique(np.concatenate([self.after.rare, own]))
-        order = np.lexsort((hashes, self.to(hashes, parts)))
-        self.hashes = hashes[order]
+        names = np.unique(np.concatenate([self.after.rare, own]))
+        order = np.lexsort((names, self.to(names, parts)))
+        self.names = names[order]
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
-        place = lambda some: rank[np.searchsorted(hashes, some)]
-        # words numbered by slot, then as in ``hashes``
+        place = lambda some: rank[np.searchsorted(names, some)]
+        # words numbered by slot, then as in ``names``
         self.word_after = np.concatenate([np.arange(last + 1), last + 1 + place(self.after.rare)])[self.after.other]
         words = self.slot.astype(np.int64)
         words[self.slot == 0] = last + 1 + place(own)
         self.word_follows = words[self.follows.owner]
         #: How many contexts here each word follows.
-        size = last + 1 + len(self.hashes)
+        size = last + 1 + len(self.names)
         self.contexts = np.bincount(self.word_after, minlength=size) + np.bincount(self.word_follows, minlength=size)
 
     @staticmethod
-    def to(hashes: np.ndarray, parts: int) -> np.ndarray:
-        return (hashes % np.uint64(parts) // np.uint64(PARTS)).astype(np.int32)
+    def to(names: np.ndarray, parts: int) -> np.ndarray:
+        return (names % np.uint64(parts) // np.uint64(PARTS)).astype(np.int32)
 
 
 def context_sums(context: np.ndarray, counts: np.ndarray, size: int) -> np.ndarray:
@@ -327,24 +390,6 @@ class Model:
         return segment_sums(values, offsets), np.diff(offsets)
 
 
-def _merged(packed: DataFrame) -> DataFrame:
-    """One row per part with the packed rows of all blocks; those below 0 stay alone."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[dict] = []
-        for row in _rows(batches):
-            if held and (row["part"] < 0 or row["part"] != held[0]["part"]):
-                yield pa.RecordBatch.from_pylist([{"part": held[0]["part"], "rows": held}], schema)
-                held = []
-            held.append(row)
-        if held:
-            yield pa.RecordBatch.from_pylist([{"part": held[0]["part"], "rows": held}], schema)
-
-    inner = [f for f in _PACKED if f.name != "part"]
-    schema = pa.schema([("part", pa.int32()), ("rows", pa.list_(pa.struct(inner)))])
-    return packed.mapInArrow(run, "part int, rows array<struct<" + ", ".join(
-        f"{column.split()[0]}:{column.split()[1]}" for column in _PACKED_SQL.split(", ")[1:]) + ">>")
-
-
 def _sums(held: dict[int, np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [pa.array(list(held), pa.int64()), pa.array([v.astype("<f8").tobytes() for v in held.values()], pa.binary())], ["block", "sums"])
@@ -357,10 +402,11 @@ def fit(docs: DataFrame, top: int = TOP, parts: int | None = None) -> tuple[Mode
     parts = parts or PARTS * partitions
     frequent = frequent_words(docs, top)
     last, size = frequent.last, frequent.last + 1
-    packed = _pack(docs, frequent, parts).repartition("part").sortWithinPartitions("part", "block", "follows")
-    merged = _bucketed(_merged(packed), partitions)
-    inside = merged.filter("part >= 0")
-    alone = merged.filter("part < 0").select(F.inline("rows"))
+    # stored by part as it is written: a shuffle would hold all of it a second time
+    few = docs.coalesce(PACKING * spark.sparkContext.defaultParallelism)
+    packed = _bucketed(_pack(few, frequent, parts), partitions)
+    inside = packed.filter("part >= 0").groupBy("part").agg(F.collect_list(F.struct("block", "follows", *_FIELDS)).alias("rows"))
+    alone = packed.filter("part < 0")
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
@@ -373,25 +419,25 @@ def fit(docs: DataFrame, top: int = TOP, parts: int | None = None) -> tuple[Mode
     matrix[summed.column("cell").to_numpy()] = summed.column("n").to_numpy()
 
     sent_schema = pa.schema([("value", pa.list_(pa.float64())), ("to", pa.int32()), ("part", pa.int32()),
-                             ("hash", pa.list_(pa.int64())), ("n", pa.list_(pa.int32()))])
+                             ("names", pa.binary()), ("n", pa.binary())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(5 * size + 4)
         for row in _rows(batches):
-            part = Part(row["rows"], frequent, parts)
+            part = Part(row, frequent, parts)
             total[:4 * size] += context_sums(part.follows.other, part.follows.counts, size).ravel()
             total[4 * size:5 * size] += part.contexts[:size]
             total[5 * size:] += np.add(_by_size(part.after.counts), _by_size(part.follows.counts))
-            to = Part.to(part.hashes, parts)
+            to = Part.to(part.names, parts)
             cuts = np.flatnonzero(np.diff(to, prepend=-1))
-            offsets, k = np.append(cuts, len(to)), len(cuts)
+            k, each = len(cuts), [slice(*ends) for ends in zip(cuts, [*cuts[1:], len(to)])]
             yield pa.RecordBatch.from_arrays(
                 [pa.nulls(k, pa.list_(pa.float64())), pa.array(to[cuts]), pa.array(np.full(k, row["part"], np.int32)),
-                 _lists(offsets, part.hashes.view(np.int64), pa.int64()), _lists(offsets, part.contexts[size:], pa.int32())],
-                schema=sent_schema)
+                 pa.array([_tight(np.diff(part.names[some], prepend=np.uint64(0)), "<u8") for some in each], pa.binary()),
+                 pa.array([_tight(part.contexts[size:][some], "<u4") for some in each], pa.binary())], schema=sent_schema)
         yield pa.RecordBatch.from_pylist([{"value": total}], sent_schema)
 
-    sent = _stored(inside.mapInArrow(count, "value array<double>, to int, part int, hash array<long>, n array<int>"), "sent")
+    sent = _stored(inside.mapInArrow(count, "value array<double>, to int, part int, names binary, n binary"), "sent")
 
     def add(table: pa.Table) -> pa.Table:
         values = table.column("value").combine_chunks().flatten().to_numpy().reshape(len(table), -1).sum(axis=0)
@@ -400,17 +446,21 @@ def fit(docs: DataFrame, top: int = TOP, parts: int | None = None) -> tuple[Mode
     def gather(table: pa.Table) -> pa.Table:
         """To each part the numbers of its words; once for all how many words follow 1, 2, 3, 4 and any contexts."""
         table = table.combine_chunks()
-        keys, at = np.unique(table.column("hash").combine_chunks().flatten().to_numpy(), return_inverse=True)
-        found = np.bincount(at, table.column("n").combine_chunks().flatten().to_numpy(), len(keys)).astype(np.int64)
-        offsets = np.concatenate([[0], np.cumsum(pc.list_value_length(table.column("hash")).to_numpy())])
-        met = pa.table({"part": table.column("part"), "to": table.column("to"), "n": _lists(offsets, found[at], pa.int64())})
-        sizes = np.array([*_by_size(found), len(found), np.count_nonzero(found > 2), found.sum()])
-        return pa.concat_tables([met, pa.table({
-            "part": pa.array([-1], pa.int32()), "to": table.column("to").slice(0, 1), "n": _lists(np.array([0, 7]), sizes, pa.int64())})])
+        names = [np.cumsum(_loose(v, "<u8"), dtype=np.uint64) for v in table.column("names").to_pylist()]
+        keys, at = np.unique(np.concatenate(names), return_inverse=True)
+        counts = np.concatenate([_loose(v, "<u4") for v in table.column("n").to_pylist()])
+        found = np.bincount(at, counts, len(keys)).astype(np.int64)
+        ends = np.cumsum([0, *map(len, names)])
+        sizes = [*_by_size(found), len(found), np.count_nonzero(found > 2), found.sum()]
+        return pa.table({
+            "part": pa.concat_arrays([table.column("part").combine_chunks(), pa.array([-1], pa.int32())]),
+            "to": pa.array([table.column("to")[0].as_py()] * (len(table) + 1), pa.int32()),
+            "n": pa.array([*(_tight(found[at[a:b]], "<u4") for a, b in zip(ends, ends[1:])), None], pa.binary()),
+            "sizes": pa.array([*[None] * len(table), sizes], pa.list_(pa.int64()))})
 
     met = _stored(sent.filter("to is not null").groupBy("to").applyInArrow(
-        gather, "part int, to int, n array<long>"), "met")
-    sizes = np.array([v or 0 for v in met.filter("part < 0").select(*(F.sum(F.get("n", F.lit(k))) for k in range(7))).first()])
+        gather, "part int, to int, n binary, sizes array<long>"), "met")
+    sizes = np.array([v or 0 for v in met.filter("part < 0").select(*(F.sum(F.get("sizes", F.lit(k))) for k in range(7))).first()])
     totals = sent.filter("value is not null").withColumn("all", F.lit(0)).groupBy("all") \
         .applyInArrow(add, "value array<double>").collect()
     totals = np.array(totals[0]["value"] if totals else np.zeros(5 * size + 4))
@@ -436,8 +486,8 @@ def fit(docs: DataFrame, top: int = TOP, parts: int | None = None) -> tuple[Mode
         known = shared.value
         held: dict[int, np.ndarray] = {}
         for row in _rows(batches):
-            part, numbers = Part(row["rows"], frequent, parts), row["met_n"].astype(np.int64)
-            lower = known.lower(np.concatenate([known.follows, numbers]))
+            part, numbers = Part(row, frequent, parts), [_loose(n, "<u4").astype(np.int64) for n in row["numbers"] or ()]
+            lower = known.lower(np.concatenate([known.follows, *numbers]))
             own = part.after
             for pairs, context, sums, word in (
                     (own, own.owner, context_sums(own.owner, own.counts, len(own.owners)), part.word_after),
@@ -455,7 +505,7 @@ def fit(docs: DataFrame, top: int = TOP, parts: int | None = None) -> tuple[Mode
         yield _sums(held)
 
     listed = met.filter("part >= 0").groupBy("part").agg(F.array_sort(F.collect_list(F.struct("to", "n"))).alias("met")) \
-        .select("part", F.flatten("met.n").alias("met_n"))
+        .select("part", F.col("met.n").alias("numbers"))
     scored = inside.join(listed.hint("shuffle_hash"), "part", "left").mapInArrow(score, "block long, sums binary")
 
     def named(digest: pa.Table, found: pa.Table) -> pa.Table:

@@ -2,7 +2,9 @@
 
 import collections
 import math
+import pathlib
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -63,3 +65,48 @@ def test_judge_takes_word_pairs(spark):
     docs = spark.createDataFrame([(i, t, None) for i, t in enumerate(texts)], "doc_id long, text string, lang string")
     found = {r[0]: r[1] for r in quality.judge(docs, ["doc_id"]).select("_row.doc_id", "log_perplexity").collect()}
     assert [found[i] for i in range(len(texts))] == pytest.approx(expected_of(texts))
+
+
+def colliding(bits):
+    """Words whose hashes share their first bits."""
+    seen = collections.defaultdict(list)
+    for k in range(120_000):
+        seen[word_grams.word_hash(f"x{k}") >> 64 - bits].append(f"x{k}")
+    return [words for words in seen.values() if len(words) > 1]
+
+
+@pytest.mark.parametrize("most_shared", [1 << 18, 8])
+def test_words_with_one_short_name_stay_apart(spark, monkeypatch, most_shared):
+    monkeypatch.setattr(word_grams, "MOST_SHARED", most_shared)
+    random = np.random.default_rng(4)
+    pairs = colliding(word_grams.WIDTHS[0])[:8]
+    assert len(pairs) == 8
+    texts = [" ".join(random.choice(pairs[random.integers(8)][:2]) for _ in range(12)) for _ in range(30)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").select(text_column().alias("_text"))
+    found = word_grams.frequent_words(docs, 3)
+    assert (found.bits, len(found.shared)) == ((28, 16) if most_shared > 8 else (32, 0))
+    words = [w for pair in pairs for w in pair[:2]]
+    assert len(set(found.named(words).tolist())) == 16
+    model, apart = word_grams.fit(docs.repartition(3), 3, 5)
+    sums = {bytes(r["_digest"]): r["_apart"] for r in apart.collect()}
+    kept, n = model.kept(pa.array(texts))
+    assert [-(k + sums[d]) / c for k, d, c in zip(kept, word_grams.digests(pa.array(texts)), n)] == pytest.approx(expected_of(texts))
+
+
+def shuffled(spark):
+    """Bytes of the shuffle files that the session holds, by file."""
+    dirs = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    return {p: p.stat().st_size for d in dirs for p in pathlib.Path(d).rglob("shuffle_*.data")}
+
+
+def test_pairs_are_held_once_and_in_few_bytes(spark, monkeypatch):
+    random = np.random.default_rng(5)
+    texts = [" ".join(f"w{k}" for k in random.integers(0, 60_000, 1000)) for _ in range(200)]
+    docs = spark.createDataFrame([(t,) for t in texts], "_text string")
+    held, bucketed, stored = shuffled(spark), word_grams._bucketed, []
+    monkeypatch.setattr(word_grams, "_bucketed", lambda df, n: stored.append(bucketed(df, n)) or stored[-1])
+    word_grams.fit(docs, 10)
+    files = [pathlib.Path(f.removeprefix("file:")) for f in stored[0].inputFiles()]
+    assert sum(f.stat().st_size for f in files) < 9 * 200_000
+    time.sleep(1)
+    assert sum(size for p, size in shuffled(spark).items() if p not in held) < 300_000
