@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from tannin.llm import quality, word_grams
+from tannin.llm import pitman_yor, quality, word_grams
 from tannin.llm.words import text_column
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -110,3 +110,13 @@ def test_pairs_are_held_once_and_in_few_bytes(spark, monkeypatch):
     assert sum(f.stat().st_size for f in files) < 9 * 200_000
     time.sleep(1)
     assert sum(size for p, size in shuffled(spark).items() if p not in held) < 300_000
+
+
+def test_pitman_yor_frees_its_shuffles(spark):
+    random = np.random.default_rng(6)
+    texts = [" ".join(f"w{k}" for k in random.integers(0, 60_000, 1000)) for _ in range(200)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    held = shuffled(spark)
+    pitman_yor.score_texts(docs, contexts=10, rounds=1, burn_in=0, samples=1)
+    time.sleep(1)
+    assert sum(size for p, size in shuffled(spark).items() if p not in held) < 300_000
